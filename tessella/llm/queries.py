@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, media, mixing, near_dedup, quality, warc
+from tessella.llm import licenses, media, mixing, near_dedup, neighbours, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_licenses, op5_transport_streams, op6_mixing, op9_warc)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_licenses, op5_transport_streams, op6_mixing, op9_warc, op10_neighbours)}
 
 MIXING_SQL = """
 WITH RECURSIVE d AS (
