@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ DROPOUT = 0.1
 VARIANTS = 4
 SEED = 1
 MARK = "▁"
-KEPT = 400_000  # chunks that a worker remembers
+KEPT = 800_000  # chunks that a worker remembers
 
 
 def load(model: str = MODEL) -> bytes:
@@ -50,12 +51,11 @@ class Pieces:
         self.dropout, self.variants, self.seed = dropout, variants if dropout else 1, seed
         self.limit = int(dropout * 2**64)
         self.ids: dict[str, int] = {}
-        self.scores: list[float] = []
+        self.scores: dict[str, float] = {}  # of pieces that a merge can make
         self.byte = [0] * 256
         self.bytes: list[bytes] = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
-            self.scores.append(sp.get_score(i))
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
@@ -63,9 +63,11 @@ class Pieces:
                 self.bytes.append(b"")
             else:
                 self.ids[piece] = i
+                if len(piece) > 1:
+                    self.scores[piece] = sp.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.prefix = bool(sp.encode("a", out_type=str)[0].startswith(MARK))
-        joined = [p for p in self.ids if len(p) > 1]
+        joined = self.scores
         inner = any(MARK in p.lstrip(MARK) for p in joined)
         inside = {c for p in joined for c in p}
         lone = "".join(c for c in "\t\n\r\x0b\x0c" if c not in inside)
@@ -74,40 +76,34 @@ class Pieces:
         self.cache: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
         self.held = 0
 
-    def skipped(self, key: int, at: int, piece: int) -> bool:
-        x = (key + at * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-        return x ^ x >> 31 < self.limit
+    def skipped(self, key: int, at: int, score: float) -> bool:
+        """Whether the candidate of this place and piece (told by its score) is left out."""
+        x = (key ^ at * 0x9E3779B97F4A7C15 ^ int(score) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) < self.limit
 
     def merge(self, chunk: str, variant: int) -> tuple:
         """Ids of one chunk."""
         ids = self.ids
-        if not self.dropout and chunk in ids and len(chunk) == 1:
-            return (ids[chunk],)
         if len(chunk) > 64:
             symbols = self.agenda(chunk, variant)
         else:
-            symbols, key = list(chunk), self.key(chunk, variant)
-            at, scores, none = list(range(len(symbols))), self.scores, -1e30
-            pair = [scores[ids[a + b]] if a + b in ids else none for a, b in zip(symbols, symbols[1:])]
+            symbols, get, none, skipped = list(chunk), self.scores.get, -1e30, self.skipped
+            key, at = self.key(chunk, variant), list(range(len(symbols)))
+            pair = [get(chunk[i : i + 2], none) for i in range(len(symbols) - 1)]
             while pair:
                 best = max(pair)
                 if best == none:
                     break
                 i = pair.index(best)
-                new = symbols[i] + symbols[i + 1]
-                if self.limit and self.skipped(key, at[i], ids[new]):
+                if key and skipped(key, at[i], best):
                     pair[i] = none
                     continue
-                symbols[i] = new
+                symbols[i] = new = symbols[i] + symbols[i + 1]
                 del symbols[i + 1], at[i + 1], pair[i]
                 if i:
-                    both = symbols[i - 1] + new
-                    pair[i - 1] = scores[ids[both]] if both in ids else none
+                    pair[i - 1] = get(symbols[i - 1] + new, none)
                 if i < len(pair):
-                    both = new + symbols[i + 1]
-                    pair[i] = scores[ids[both]] if both in ids else none
+                    pair[i] = get(new + symbols[i + 1], none)
         out = []
         for s in symbols:
             if s in ids:
@@ -117,32 +113,31 @@ class Pieces:
         return tuple(out)
 
     def key(self, chunk: str, variant: int) -> int:
-        if not self.limit:
-            return 0
-        return int.from_bytes(hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=8, key=f"{self.seed}:{variant}".encode()).digest(), "little")
+        """The keyed hash of a chunk and draw; 0 without dropout."""
+        return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) | 1 if self.limit else 0
 
     def agenda(self, chunk: str, variant: int) -> list[str]:
         """The same with a heap, for long chunks."""
         from heapq import heapify, heappop, heappush
 
-        ids, scores, key, n = self.ids, self.scores, self.key(chunk, variant), len(chunk)
+        scores, key, n = self.scores, self.key(chunk, variant), len(chunk)
         symbol, left, right = list(chunk), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(-scores[ids[a + b]], i, i + 1, a + b) for i, (a, b) in enumerate(zip(chunk, chunk[1:])) if a + b in ids]
+        heap = [(-scores[a + b], i, i + 1, a + b) for i, (a, b) in enumerate(zip(chunk, chunk[1:])) if a + b in scores]
         heapify(heap)
         while heap:
-            _, i, j, new = heappop(heap)
-            if right[i] != j or not symbol[i] or symbol[i] + symbol[j] != new or (self.limit and self.skipped(key, i, ids[new])):
+            score, i, j, new = heappop(heap)
+            if right[i] != j or not symbol[i] or symbol[i] + symbol[j] != new or (key and self.skipped(key, i, -score)):
                 continue
             symbol[i], symbol[j], right[i] = new, "", right[j]
             if right[j] >= 0:
                 left[right[j]] = i
                 both = new + symbol[right[j]]
-                if both in ids:
-                    heappush(heap, (-scores[ids[both]], i, right[j], both))
+                if both in scores:
+                    heappush(heap, (-scores[both], i, right[j], both))
             if left[i] >= 0:
                 both = symbol[left[i]] + new
-                if both in ids:
-                    heappush(heap, (-scores[ids[both]], left[i], i, both))
+                if both in scores:
+                    heappush(heap, (-scores[both], left[i], i, both))
         return [s for s in symbol if s]
 
     def encode(self, text: str, salt: int = 0) -> list[int]:
