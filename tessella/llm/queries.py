@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, media, mixing, near_dedup, neighbours, pieces, quality, warc
+from tessella.llm import licenses, line_dedup, media, mixing, near_dedup, neighbours, pieces, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_line_n").alias("n_lines"), F.col("_line_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_licenses, op5_transport_streams, op6_mixing, op8_pieces, op9_warc, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_licenses, op5_transport_streams, op6_mixing, op7_line_dedup, op8_pieces, op9_warc, op10_neighbours)}
 
 MIXING_SQL = """
 WITH RECURSIVE d AS (
