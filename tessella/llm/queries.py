@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, line_dedup, media, mixing, near_dedup, neighbours, pieces, quality, warc
+from tessella.llm import licenses, line_dedup, media, mixing, near_dedup, neighbours, pieces, quality, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_licenses, op5_transport_streams, op6_mixing, op7_line_dedup, op8_pieces, op9_warc, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_repeats, op4_licenses, op5_transport_streams, op6_mixing, op7_line_dedup, op8_pieces, op9_warc, op10_neighbours)}
 
 MIXING_SQL = """
 WITH RECURSIVE d AS (
