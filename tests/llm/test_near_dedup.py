@@ -48,7 +48,7 @@ def texts(seed):
     return [*out, None, "", " \n\t ", "one", "ONE", "x " * 30000, out[0], out[0]]
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_same_components_as_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = [(i * 7 % 1000, t, "clash", "clash") for i, t in enumerate(texts(block))]
