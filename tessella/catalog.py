@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tessella import queries_core
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(queries_core.QUERIES)
+ORACLES: dict[str, str] = dict(queries_core.ORACLES)
