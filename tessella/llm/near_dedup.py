@@ -8,8 +8,9 @@ Steps, all distributed:
 3. pairs whose likelihood estimate is far below the threshold go; the rest are checked on full sets;
    linked pairs are merged into components;
 4. buckets that still hold several components are compared across components, in blocks of bounded
-   size, again by likelihood first and full sets then; so no link inside a bucket is lost although
-   pairs inside a component are never listed.
+   size: each pair once, in the first band it shares, by likelihood first and full sets then. No
+   link inside a bucket is lost, although only links are listed and pairs inside a component are
+   never looked at.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing. Rows with a null
 id take no part and get component_id null, kept true. Repeated rows are each reported. Only the two
@@ -34,8 +35,9 @@ from tessella.llm.sketch import Sketcher, jaccard
 from tessella.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 32, 7
-MARGIN = 0.17  # six standard errors of the estimate at 224 registers
-BLOCK = 2048  # classes of a bucket that are compared at once
+MARGIN = 0.12  # five standard errors of the estimate at 224 registers
+BLOCK = 1024  # classes of a bucket that are compared at once, at most
+BLOCK_ITEMS = 2_000_000  # and shingles of theirs, about
 LEAVES = 64  # checks against one centre that share a copy of it
 
 
@@ -76,6 +78,16 @@ def estimated(pairs: DataFrame, floor: float) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(over, "a long, b long")
 
 
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union| of two sorted sets."""
+    small, large = (one, other) if len(one) < len(other) else (other, one)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * |intersection| >= percent * |union|, on full sets (key, items).
 
@@ -99,64 +111,66 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if role[i] == 0:
                     held, items = (a[i], part[i]), own
                 elif held == (a[i], part[i]):
-                    small, large = (own, items) if len(own) < len(items) else (items, own)
-                    if 100 * len(small) >= percent * len(large):
-                        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        common = int((large[at] == small).sum())
-                        if 100 * common >= percent * (len(own) + len(items) - common):
-                            out.append((a[i], b[i]))
+                    if similar(own, items, percent):
+                        out.append((a[i], b[i]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(over, "a long, b long")
 
 
-def crossed(members: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Pairs of different labels within a group (bucket, i, j) of members (label, key, n, sketch, side)."""
+def crossed(members: DataFrame, percent: int, floor: float, rows: int) -> DataFrame:
+    """Links between different labels within a group (band, bh, i, j) of members.
+
+    members: label, key, n, sketch, items, side. A pair is handled in the first band it shares, by
+    likelihood and then on full sets; only links come out.
+    """
 
-    def compare(one: list, other: list | None) -> Iterator[tuple[int, int]]:
-        la, ka, na, sa = one
-        lb, kb, nb, sb = other or one
+    def compare(band: int, one: list, other: list | None) -> Iterator[tuple[int, int]]:
+        la, ka, na, sa, ia = one
+        lb, kb, nb, sb, ib = other or one
         for i in range(len(ka)):
             lo = i + 1 if other is None else 0
             ok = (lb[lo:] != la[i]) & (100 * np.minimum(nb[lo:], na[i]) >= percent * np.maximum(nb[lo:], na[i]))
-            ok &= kb[lo:] != ka[i]
-            at = np.flatnonzero(ok) + lo
+            at = np.flatnonzero(ok & (kb[lo:] != ka[i])) + lo
+            if len(at) and band:
+                before = (sb[at, : band * rows] == sa[i, : band * rows]).reshape(len(at), band, rows).all(axis=2).any(axis=1)
+                at = at[~before]
             if len(at):
                 at = at[jaccard(np.broadcast_to(sa[i], (len(at), sa.shape[1])), sb[at], np.full(len(at), na[i]), nb[at]) >= floor]
-                yield from ((int(ka[i]), int(kb[x])) for x in at)
+                yield from ((int(ka[i]), int(kb[x])) for x in at if similar(ia[i], ib[x], percent))
 
     def columns(slices: list[pa.RecordBatch], side: int) -> list:
         t = pa.Table.from_batches(slices)
         t = t.filter(pa.compute.equal(t["side"], side))
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.uint8)
-        return [t[c].to_numpy() for c in ("label", "key", "n")] + [sketch]
+        return [t[c].to_numpy() for c in ("label", "key", "n")] + [sketch, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["items"]]]
 
-    def finish(key: tuple, slices: list[pa.RecordBatch]) -> set:
-        same = key[1] == key[2]
-        return {(min(p), max(p)) for p in compare(columns(slices, 0), None if same else columns(slices, 1))}
+    def finish(key: tuple, slices: list[pa.RecordBatch]) -> list:
+        band, _, i, j = key
+        return [(min(p), max(p)) for p in compare(band, columns(slices, 0), None if i == j else columns(slices, 1))]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, slices, found = None, [], set()
-        for key, part in stream_groups(batches, ["bh", "i", "j"]):
+        held, slices, found = None, [], []
+        for key, part in stream_groups(batches, ["band", "bh", "i", "j"]):
             if key != held and slices:
-                found |= finish(held, slices)
+                found += finish(held, slices)
                 slices = []
                 if len(found) > 50_000:
                     yield emit(found)
-                    found = set()
+                    found = []
             held = key
             slices.append(part)
         if slices:
-            found |= finish(held, slices)
+            found += finish(held, slices)
         if found:
             yield emit(found)
 
-    def emit(found: set) -> pa.RecordBatch:
-        rows = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+    def emit(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
 
-    return members.select("bh", "i", "j", "side", "label", "key", "n", "sketch").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j").mapInArrow(over, "a long, b long")
+    group = ["band", "bh", "i", "j"]
+    return members.select(*group, "side", "label", "key", "n", "sketch", "items").repartition(*group).sortWithinPartitions(*group).mapInArrow(over, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -167,9 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy(F.col("k1").alias("key"), "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.drop("k2"), "classes")
     hashed = [F.xxhash64(F.lit(i), F.substring("sketch", i * rows + 1, rows)) for i in range(bands)]
-    banded = classes.select("key", F.explode(F.array(*hashed)).alias("bh"))
-    shared = banded.groupBy("bh").agg(F.min("key").alias("a"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(banded.join(shared, "bh"), "buckets")  # only those with two classes at least
+    banded = classes.select("key", "n", F.posexplode(F.array(*hashed)).alias("band", "bh"))
+    shared = banded.groupBy("band", "bh").agg(F.min("key").alias("a"), F.count("*").alias("size"), F.sum("n").alias("items")).where("size > 1")
+    buckets = cut(banded.drop("n").join(shared, ["band", "bh"]), "buckets")  # only those with two classes at least
     stars = buckets.where("a <> key").select("a", F.col("key").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
 
@@ -194,15 +208,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = cut(verified(estimated(with_sketches(stars), floor), sets, percent), "links")
     labels = connected_components(links)
-    mixed = buckets.select("bh", "key", "size").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    several = mixed.groupBy("bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bh")
+    mixed = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = mixed.groupBy("band", "bh").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "bh")
     # A bucket of two whose pair failed is settled: its only pair was its star.
-    members = mixed.where("size > 2").join(several, "bh", "left_semi").join(sketches, "key")
-    members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = mixed.where("size > 2").join(several, ["band", "bh"], "left_semi").join(sketches, "key").join(sets, "key")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, mixed["items"] / BLOCK_ITEMS)).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "label", "key", "n", "sketch")
-    across = crossed(members, percent, floor).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(verified(across, sets, percent), "links")
+    members = members.select("band", "bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "label", "key", "n", "sketch", sets["items"])
+    more = cut(crossed(members, percent, floor, rows), "links")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
     place = known.select("id", F.col("k1").alias("key")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("id", F.col("key"), F.coalesce("label", "key").alias("label"))
