@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import cut
+
 # Phrases and the labels they stand for.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -98,6 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = F.struct(F.xxhash64("id", "text").alias("a"), F.hash("text", F.lit(7), "id").alias("b"))
     found = matches(rows.select(key.alias("key"), "text"), templates(docs.sparkSession, phrases, bodies)).distinct()
+    found = cut(found, "grams")  # both kinds of spans read it; without a table each would scan all texts
     base = spans(found, True).groupBy("key").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base"), F.lit(0.0).alias("cover"))
     body = spans(found, False).groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).alias("cover"))
