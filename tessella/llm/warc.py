@@ -91,13 +91,18 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """id, url, payload (binary), refers (the id that stores an equal payload, null for itself)."""
+    """Rows (id, kind, url, payload, same, refers): records (kind 1), and before them what they revisit.
+
+    A row of kind 0 tells that records of this id and payload digest are kept by another id. Both
+    kinds go through the one range shuffle, so payloads are moved once and never joined.
+    """
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256))
-    keepers = rows.where(F.octet_length("payload") >= least).groupBy("same").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # The other rows of a class: few columns are joined, the payload stays where it is until the sort.
-    refers = rows.select("id", "same").join(keepers, "same").where("id <> keeper").select("id", "same", "keeper").distinct()
-    return rows.join(refers, ["id", "same"], "left").select("id", "url", "payload", F.col("keeper").alias("refers"))
+    slim = rows.where(F.octet_length("payload") >= least).select("id", "same")
+    keepers = slim.groupBy("same").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    refers = slim.join(keepers, "same").where("id <> keeper").select("id", "same", "keeper").distinct()
+    told = refers.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "same", F.col("keeper").alias("refers"))
+    return told.union(rows.select("id", F.lit(1).alias("kind"), "url", "payload", "same", F.lit(None).cast("long").alias("refers")))
 
 
 def shards(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
@@ -133,13 +138,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     rows = rows.withColumn("shard", shard_of(0, len(bounds)).cast("int"))
     n = max(1, len(starts))
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "id", "url", F.sha2("payload", 256))
+    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "id", "kind", "url", "same")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = place(path)
         attempt, done = uuid.uuid4().hex, []
         system.create_dir(f"{root}/files", recursive=True)
         shard, part, sink, size, count, sha, temp, last, repeat = None, 0, None, 0, 0, None, "", None, 0
+        kept_by: dict[str, int] = {}  # of the id at hand
 
         def close() -> None:
             nonlocal sink
@@ -159,7 +165,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, refers, own = (batch.column(c)[i].as_py() for c in range(5))
+                page, kind, url, payload, same, refers, own = (batch.column(c)[i].as_py() for c in range(7))
+                if page != last:
+                    kept_by, repeat, last = {}, -1, page
+                if kind == 0:
+                    kept_by[same] = refers
+                    continue
+                refers, repeat = kept_by.get(same), repeat + 1
                 if own != shard or size >= file_bytes:
                     close()
                     part = part + 1 if own == shard else 0
@@ -167,8 +179,6 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     temp = f"{root}/files/.tmp-{attempt}-{shard:05d}-{part:05d}"
                     sink = system.open_output_stream(temp)
                     put(info(shard, part))
-                repeat = repeat + 1 if page == last else 0
-                last = page
                 put(record(page, url, payload, refers, repeat))
                 count += 1
         close()
@@ -177,7 +187,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["file", "shard", "part", "records", "bytes", "sha256"])
 
     schema = "file string, shard int, part int, records long, bytes long, sha256 string"
-    rows.select("id", "url", "payload", "refers", "shard").mapInArrow(over, schema).write.mode("overwrite").parquet(f"{path}/manifest")
+    rows.select("id", "kind", "url", "payload", "same", "refers", "shard").mapInArrow(over, schema).write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
 
 
