@@ -91,3 +91,14 @@ def test_ordinals_are_dense(spark):
     got = catalogs.ordinals(spark.createDataFrame([(i,) for i in ids], "object_id long")).collect()
     assert {r["object_id"]: r["ordinal"] for r in got} == {x: n for n, x in enumerate(sorted(set(ids)))}
     assert catalogs.ordinals(spark.createDataFrame([], "object_id long")).collect() == []
+
+
+def test_sql_functions(spark):
+    from tessella.functions.register import register
+
+    assert "morton_encode" in register(spark)
+    r = spark.sql("SELECT morton_encode(3, 5, 9) AS c, morton_decode(morton_encode(17, 2, 300)) AS d, cell_ancestor(64, 2) AS a, cell_octant(13) AS o, quantize(64, 0, 128) AS q, target_faces(10, 1, 0.25, 1) AS t, screen_error(0.9, box_gap(-1, -1, -1, 1, 1, 1, 0, 0, -10), 100) AS s").first()
+    assert r["c"] == one(spark, morton.encode(F.lit(3), F.lit(5), F.lit(9)))[0] and tuple(r["d"]) == (17, 2, 300)
+    assert (r["a"], r["o"], r["q"], r["t"], round(r["s"], 9)) == (1, 5, 32768, 2, 10.0)
+    with pytest.raises(Exception, match="out of range"):
+        spark.sql("SELECT morton_encode(-1, 0, 0)").collect()
