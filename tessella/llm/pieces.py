@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import small_batches
 from tessella.llm.words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,7 +40,10 @@ DROPOUT = 0.1
 VARIANTS = 4
 SEED = 1
 MARK = "▁"
-KEPT = 800_000  # chunks that a worker remembers
+KEPT = 500_000  # chunks that a worker remembers
+WIDE = 40  # longest chunks that are merged many at a time
+SLOTS = 20  # bits of the table of pairs
+MANY = 8192  # chunks that are merged at once
 
 
 def load(model: str = MODEL) -> bytes:
@@ -67,14 +73,21 @@ class Pieces:
                     self.scores[piece] = sp.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.prefix = bool(sp.encode("a", out_type=str)[0].startswith(MARK))
-        joined = self.scores
-        inner = any(MARK in p.lstrip(MARK) for p in joined)
-        inside = {c for p in joined for c in p}
-        lone = "".join(c for c in "\t\n\r\x0b\x0c" if c not in inside)
+        # Chunks as short as no piece crosses: letters apart from other characters, or words, or all.
         # ￾ stands for a space mark of the text's own: it is no character, so texts do not hold it.
-        self.chunks = re.compile(f"[{lone}￾]|{MARK}*[^{MARK}{lone}￾]+|{MARK}+") if not inner else re.compile(".+", re.S)
-        self.cache: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
-        self.held = 0
+        lone = "".join(c for c in "\t\n\r\x0b\x0c" if not any(c in x for x in self.scores))
+        rest = f"^{MARK}{lone}￾"
+        marks = "".join(sorted({c for x in self.scores for c in x if re.match(r"[^\W\d_]", c) and not c.isalpha()}))  # as superscripts
+        letter = f"[^\\W\\d_{marks}]"
+        cuts = (f"[{lone}￾]|{MARK}*(?:{letter}+|(?:(?!{letter})[{rest}])+)|{MARK}+", f"[{lone}￾]|{MARK}*[{rest}]+|{MARK}+", ".+")
+        self.chunks = next(r for r in (re.compile(c, re.S) for c in cuts) if r.pattern == ".+" or all(r.fullmatch(x) and len(r.findall(x)) == 1 for x in self.scores))
+        self.cache: dict[str, bytes] = {}  # by draw and chunk
+        self.draws = [chr(v) for v in range(self.variants)]
+        self.known = {c for c in self.ids if len(c) == 1}
+        self.of_code = np.full(max(map(ord, self.known)) + 1, -1, np.int32)
+        for c in self.known:
+            self.of_code[ord(c)] = self.ids[c]
+        self.pair_table()
 
     def skipped(self, key: int, at: int, score: float) -> bool:
         """Whether the candidate of this place and piece (told by its score) is left out."""
@@ -141,34 +154,131 @@ class Pieces:
         return [s for s in symbol if s]
 
     def encode(self, text: str, salt: int = 0) -> list[int]:
-        if not text:
-            return []
-        text = text.replace(MARK, "￾") if MARK in text else text
-        chunks = self.chunks.findall(((" " if self.prefix else "") + text).replace(" ", MARK))
-        out: list[int] = []
-        if self.variants == 1:
-            draws = [0] * len(chunks)
-        else:
-            with np.errstate(over="ignore"):
-                x = mix(np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
-            draws = (x % np.uint64(self.variants)).tolist()
+        return np.frombuffer(self.encode_many([text], [salt])[0], "<i4").tolist()
+
+    def encode_many(self, texts: list[str], salts: list[int]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit numbers. Chunks new to the cache are merged together."""
+        keys, ends = [], [0]
+        for text, salt in zip(texts, salts):
+            text = text.replace(MARK, "￾") if MARK in text else text
+            chunks = self.chunks.findall(((" " if self.prefix else "") + text).replace(" ", MARK)) if text else []
+            if self.variants == 1:
+                keys += map("\x00".__add__, chunks)
+            else:
+                with np.errstate(over="ignore"):
+                    x = mix(np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+                keys += map(add, map(self.draws.__getitem__, (x % np.uint64(self.variants)).tolist()), chunks)
+            ends.append(len(keys))
+        if len(self.cache) > KEPT:
+            self.cache = {}
         cache = self.cache
-        for chunk, v in zip(chunks, draws):
-            got = cache[v].get(chunk)
-            if got is None:
-                got = self.merge(chunk, v)
-                if len(chunk) < 64:
-                    if self.held > KEPT:
-                        self.cache = cache = [{} for _ in cache]
-                        self.held = 0
-                    cache[v][chunk] = got
-                    self.held += 1
-            out += got
+        found = list(map(cache.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = {keys[i] for i in gaps}
+        short = [k for k in new if len(k) <= WIDE and self.known.issuperset(k[1:])] if len(new) > 200 else []
+        short.sort(key=len)  # blocks of like lengths
+        for lo in range(0, len(short), MANY):
+            cache.update(zip(short[lo : lo + MANY], self.merge_many(short[lo : lo + MANY])))
+        for k in new.difference(short) if short else new:
+            cache[k] = array("i", self.merge(k[1:], ord(k[0]))).tobytes()
+        for i in gaps:
+            found[i] = cache[keys[i]]
+        out = [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
+        for k in new:
+            if len(k) > 64:
+                del cache[k]
         return out
 
+    def merge_many(self, keys: list[str]) -> list[bytes]:
+        """The same as merge for many short chunks of known characters: one merge or skip of each a round."""
+        if not keys:
+            return []
+        length = np.array([len(k) - 1 for k in keys])
+        n, wide = len(keys), int(length.max())
+        raw = np.frombuffer("".join(k[1:].ljust(wide, "\x00") for k in keys).encode("utf-32-le"), np.uint32).reshape(n, wide)
+        real = np.arange(wide)[None, :] < length[:, None]
+        symbol = self.of_code[raw].astype(np.int64)
+        symbol[~real] = -1
+        nxt = np.where(np.arange(1, wide + 1)[None, :] < length[:, None], np.arange(1, wide + 1), -1)
+        prv = np.broadcast_to(np.arange(-1, wide - 1), (n, wide)).copy()
+        whole, score = np.full((n, wide), -1, np.int64), np.full((n, wide), -np.inf)
+        if wide > 1:
+            whole[:, :-1] = np.where(real[:, 1:], self.pair(symbol[:, :-1], symbol[:, 1:]), -1)
+            score = np.where(whole >= 0, self.score_of[whole], -np.inf)
+        key = np.array([self.key(k[1:], ord(k[0])) for k in keys], np.uint64)
+        rows = np.arange(n)
+        while len(rows):
+            j = score[rows].argmax(axis=1)
+            best = score[rows, j]
+            going = best > -np.inf
+            rows, j, best = rows[going], j[going], best[going]
+            if self.limit and len(rows):
+                with np.errstate(over="ignore"):
+                    x = key[rows] ^ j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (best.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                    left_out = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) < np.uint64(min(self.limit, 2**64 - 1))
+                score[rows[left_out], j[left_out]] = -np.inf
+                r, j = rows[~left_out], j[~left_out]
+            else:
+                r = rows
+            k = nxt[r, j]
+            after = nxt[r, k]
+            symbol[r, j] = whole[r, j]
+            symbol[r, k], score[r, k], nxt[r, j] = -2, -np.inf, after
+            more = after >= 0
+            prv[r[more], after[more]] = j[more]
+            made = np.where(more, self.pair(symbol[r, j], symbol[r, after]), -1)
+            whole[r, j], score[r, j] = made, np.where(made >= 0, self.score_of[made], -np.inf)
+            before = prv[r, j]
+            more = before >= 0
+            r, j, before = r[more], j[more], before[more]
+            made = self.pair(symbol[r, before], symbol[r, j])
+            whole[r, before], score[r, before] = made, np.where(made >= 0, self.score_of[made], -np.inf)
+        alive = real & (symbol != -2)
+        flat, ends = symbol[alive].astype("<i4").tobytes(), [0, *(4 * np.cumsum(alive.sum(axis=1))).tolist()]
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, -1 where there is none: open addressing with linear probes."""
+        wanted = (a << 32 | b).ravel()
+        none = (a.ravel() < 0) | (b.ravel() < 0)
+        with np.errstate(over="ignore"):
+            at = (wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        out, left = np.full(len(wanted), -1, np.int64), np.flatnonzero(~none)
+        while len(left):
+            held = self.slot_key[at[left]]
+            hit = held == wanted[left]
+            out[left[hit]] = self.slot_piece[at[left[hit]]]
+            left = left[~hit & (held != -1)]
+            at[left] = at[left] + 1 & (1 << SLOTS) - 1
+        return out.reshape(a.shape)
+
+    def pair_table(self) -> None:
+        """All ways to make a piece of two others."""
+        self.slot_key, self.slot_piece = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
+        ids, found = self.ids, {}
+        for piece in self.scores:
+            for i in range(1, len(piece)):
+                a, b = ids.get(piece[:i]), ids.get(piece[i:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = ids[piece]
+        if len(found) * 2 > 1 << SLOTS:
+            raise ValueError(f"{len(found)} pairs of pieces are more than the table is made for")
+        keys, pieces = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+        with np.errstate(over="ignore"):
+            at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_key[at[left]] == -1]
+            self.slot_key[at[free]] = keys[free]  # of several for a slot the last stays
+            self.slot_piece[at[free]] = pieces[free]
+            left = left[self.slot_key[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & (1 << SLOTS) - 1
+        self.score_of = np.full(len(self.bytes), -np.inf)
+        self.score_of[[ids[x] for x in self.scores]] = list(self.scores.values())
+
     def decode(self, ids: list[int]) -> str:
         table = self.bytes
-        out = b"".join([table[i] for i in ids])
+        out = b"".join(map(table.__getitem__, ids))
         if self.prefix and out[:1] == b" ":
             out = out[1:]
         return out.decode("utf-8", "surrogatepass")
@@ -189,6 +299,7 @@ def shared_pieces(model: bytes, dropout: float, variants: int, seed: int) -> Pie
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "ids", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
     """docs with the column `name` array<int>."""
+    small_batches(docs.sparkSession)
     data, at, who = load(model), docs.columns.index(text_col), docs.columns.index(id_col)
     kept = [i for i, c in enumerate(docs.columns) if c != name]
 
@@ -197,7 +308,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = pa.array([None if t is None else np.array(p.encode(t, p.salt(i)), np.int32) for i, t in zip(part.column(who).to_pylist(), part.column(at).to_pylist())], pa.list_(pa.int32()))
+                texts = part.column(at).to_pylist()
+                found = p.encode_many([t or "" for t in texts], [p.salt(i) for i in part.column(who).to_pylist()])
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")), mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), ids], names=[*(part.schema.names[i] for i in kept), name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema.fields[i] for i in kept))
@@ -223,18 +337,19 @@ def decode(rows: DataFrame, ids_col: str = "ids", name: str = "decoded", model:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
     """id, n_bytes, n_pieces, ids_sha256 (little-endian 32-bit ids), text_sha256 of what is decoded, lossless."""
+    small_batches(docs.sparkSession)
     data = load(model)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared_pieces(data, dropout, variants, seed)
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
-                ids = p.encode(text, p.salt(i)) if text is not None else []
-                back = p.decode(ids)
-                raw = back.encode("utf-8", "surrogatepass")
-                rows.append((len(raw), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), back == (text or "")))
+            for lo in range(0, batch.num_rows, 500):
+                texts = [t or "" for t in batch.column(1).slice(lo, 500).to_pylist()]
+                for text, ids in zip(texts, p.encode_many(texts, [p.salt(i) for i in batch.column(0).slice(lo, 500).to_pylist()])):
+                    back = p.decode(np.frombuffer(ids, "<i4").tolist())
+                    raw = back.encode("utf-8", "surrogatepass")
+                    rows.append((len(raw), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), back == text))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", "n_pieces", "ids_sha256", "text_sha256", "lossless"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -45,6 +46,14 @@ def test_segmentations_vary_and_longer_agenda_agrees(model):
             assert tuple(out) == p.merge(word, v)
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6, 1.0])
+def test_merging_many_equals_merging_one(model, rate):
+    p, rng = pieces.Pieces(model, rate, variants=3), random.Random(9)
+    keys = {rng.choice(p.draws) + "▁" * rng.randint(0, 2) + "".join(rng.choice("etaoinsrhé.,0") for _ in range(rng.randint(1, 30))) for _ in range(2000)}
+    keys = [k for k in keys if len(k) > 1]
+    assert [tuple(np.frombuffer(x, "<i4").tolist()) for x in p.merge_many(keys)] == [p.merge(k[1:], ord(k[0])) for k in keys]
+
+
 def test_frames_and_query(spark, sf):
     rows = [(i if i else None, t, "c") for i, t in enumerate([*TEXTS, None, "same", "same"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
