@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import small_batches
 from tessella.llm.words import texts_of
 
 PACKET, SYNC = 188, 0x47
@@ -247,6 +248,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts give one padded block; ids may be null or repeat; nothing else is read.
     """
+    small_batches(docs.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mux = Muxer()
@@ -286,6 +288,7 @@ def access_units(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What is read back from (id, n_bytes, media): sizes, digests of payload and media, features."""
+    small_batches(media.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = crc_table().tolist()

@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where the session does not say, Arrow batches of texts are kept small (rows and bytes): a batch
+    is held by the JVM and by Python, on the way in and out."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system; a missing one is no error."""
     jvm = spark.sparkContext._jvm
@@ -45,6 +56,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

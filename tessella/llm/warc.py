@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import scratch
+from tessella.llm.shared import scratch, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space for URLs
@@ -123,6 +123,7 @@ def shards(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archive under `path` and returns its manifest (file, shard, part, records, bytes, sha256)."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     source = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     starts = shards(source, shard_bytes)
@@ -230,6 +231,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
     Digests are computed anew and compared; a revisit's length is that of its HTTP head.
     """
+    small_batches(spark)
     names = spark.read.parquet(f"{path}/manifest").select("file", "records")
     n = max(1, names.count())
     # One file a task at most; a file is bounded by its roll size.
