@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import cut
+from tessella.llm.shared import KeyFilter, cut
 from tessella.llm.words import PIECE, Powers, mix, runs, seeded, texts_of
 
 LEAST, GRAM = 200, 40
 LARGEST = 20_000
-RANGE_KEYS = 1 << 20
+RANGE_KEYS = 1 << 18  # anchors of a hash range, about
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -161,7 +161,8 @@ def packed(docs: DataFrame, least: int, gram: int, ranges: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h, c, d, n = (np.concatenate([x[i] for x in held]) for i in range(4))
-            which = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            with np.errstate(over="ignore"):  # anchors are minima, so their hashes are small: mixed anew
+                which = ((mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(which, kind="stable")
             names, first = np.unique(which[order], return_index=True)
             parts = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
@@ -228,14 +229,17 @@ def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
     return packs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(over, "h long, c long, d long, twice boolean, kinds long, lead boolean")
 
 
-def pressed(docs: DataFrame) -> DataFrame:
-    """docs (d, d2, text) with compressed texts, for the shuffle."""
+def pressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (d, d2, text) with compressed texts, for the shuffle; only those whose d may be in wanted."""
+    may = KeyFilter(wanted, "d").test()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
+            batch = batch.filter(pa.array(may(batch.column(0).to_numpy())))
             raw = [x.as_buffer() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["d", "d2", "size", "z"])
+            if raw:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["d", "d2", "size", "z"])
 
     return docs.where("text is not null").select("d", "d2", "text").mapInArrow(over, "d long, d2 int, size long, z binary")
 
@@ -246,7 +250,7 @@ def unpressed(size: pa.Array, z: pa.Array) -> pa.Array:
 
 
 def contexts(docs: DataFrame, leads: DataFrame, least: int, gram: int) -> DataFrame:
-    """h, c, before (reversed), after of each lead (h, c, d)."""
+    """h, c, before (reversed), after of each lead (h, c, d); copies of a document repeat its rows."""
     wanted = leads.groupBy("d").agg(F.collect_list(F.struct("h", "c")).alias("wanted"))  # a document's own anchors at most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +272,8 @@ def contexts(docs: DataFrame, leads: DataFrame, least: int, gram: int) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["h", "c", "before", "after"])
 
-    joined = pressed(docs).join(wanted, "d").select("size", "z", "wanted")
-    return joined.mapInArrow(over, "h long, c long, before binary, after binary").dropDuplicates(["h", "c"])
+    joined = pressed(docs, leads.select("d").distinct()).join(wanted, "d").select("size", "z", "wanted")
+    return joined.mapInArrow(over, "h long, c long, before binary, after binary")
 
 
 def covered(found: DataFrame, least: int) -> DataFrame:
@@ -299,7 +303,8 @@ def covered(found: DataFrame, least: int) -> DataFrame:
                     if len(rows) > 1:
                         finish()
                     held, rows = h, []
-                rows.append((c, before, after))
+                if not rows or rows[-1][0] != c:
+                    rows.append((c, before, after))
             if len(out) > 20_000:
                 yield emit()
                 out = []
@@ -339,12 +344,12 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
     ranges = max(8, -(-size * 2 // (least - gram) // RANGE_KEYS))
     found = cut(occurrences(packed(docs, least, gram, ranges), ranges), "anchors")
     leads = found.where("lead and kinds > 1")
-    around = cut(contexts(docs, leads, least, gram), "contexts")
-    many = leads.where(F.col("kinds") > largest).select("h").distinct()
-    spans = covered(around.join(many, "h", "left_anti"), least)
+    few, many = leads.where(F.col("kinds") <= largest), leads.where(F.col("kinds") > largest)
+    spans = covered(contexts(docs, few, least, gram), least)
     if not many.isEmpty():
-        spans = spans.union(counted(around.join(many, "h", "left_semi"), least))
-    mine = found.join(cut(spans, "spans"), ["h", "c"], "left").where("twice or spans is not null")
+        spans = spans.union(counted(contexts(docs, many, least, gram).dropDuplicates(["h", "c"]), least))
+    mine = cut(found.join(cut(spans, "spans"), ["h", "c"], "left").where("twice or spans is not null").select("d", "h", "c", "twice", "spans"), "marks")
+    dirty = mine.select("d").distinct()
     mine = mine.groupBy("d").agg(F.collect_list(F.struct("h", "c", "twice", "spans")).alias("marks"))  # a document's own anchors at most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +380,7 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (starts, ends)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), *lists], names=["d", "d2", "size", "z", "starts", "ends"]).filter(good)
 
-    joined = pressed(docs).join(mine, "d").select("d", "d2", "size", "z", "marks")
+    joined = pressed(docs, dirty).join(mine, "d").select("d", "d2", "size", "z", "marks")
     return joined.mapInArrow(over, "d long, d2 int, size long, z binary, starts array<long>, ends array<long>")
 
 

@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.words import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: spark.checkpoint.dir, or a local one where unset."""
@@ -82,6 +85,57 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             yield tuple(batch.column(batch.schema.get_field_index(k))[lo].as_py() for k in keys), batch.slice(lo, hi - lo)
 
 
+FILTER_BITS = 27  # a key filter has 2**27 bits (16 MB) at most
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit keys of bounded size: it keeps rows from a shuffle that would join nothing.
+
+    Bits for about eight a key, up to 2**FILTER_BITS; with more keys it only lets more rows pass.
+    """
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        spark = keys.sparkSession
+        self.bits = min(FILTER_BITS, max(16, (8 * keys.count()).bit_length()))
+        bits, spots = self.bits, self.spots
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(1 << bits - 3, np.uint8)
+            for batch in batches:
+                for at in spots(batch.column(0).to_numpy(), bits):
+                    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(1 << bits - 3, np.uint8)
+            for batch in batches:
+                for x in batch.column(0):
+                    held |= np.frombuffer(x.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
+
+        one = keys.select(column).coalesce(8).mapInArrow(fill, "bits binary")
+        rows = one.repartition(1).mapInArrow(join, "bits binary").collect()  # one bitmap
+        self.shared = spark.sparkContext.broadcast(bytes(rows[0][0]) if rows else bytes(1 << bits - 3))
+
+    @staticmethod
+    def spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+        x = keys.view(np.uint64)
+        return [(mix(x ^ np.uint64(c)) >> np.uint64(64 - bits)).astype(np.int64) for c in (0x51A9, 0xC0DE5)]
+
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For executors: which of an array of keys may be held."""
+        shared, bits, spots = self.shared, self.bits, self.spots
+
+        def may(keys: np.ndarray) -> np.ndarray:
+            held = np.frombuffer(shared.value, np.uint8)
+            ok = np.ones(len(keys), bool)
+            for at in spots(keys, bits):
+                ok &= held[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+            return ok
+
+        return may
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for functions of one batch."""
 
