@@ -6,7 +6,7 @@ documents, exactly. Strings never cross documents.
 How a corpus-wide suffix array is kept small and distributed:
 
 1. Anchors. In each window of `least` bytes the k-grams of smallest hash are anchors (about 1 byte in
-   80). Equal windows have equal anchors, so two equal windows meet under an anchor's k-gram. The
+   50). Equal windows have equal anchors, so two equal windows meet under an anchor's k-gram. The
    keys go through the shuffle packed by hash range; k-grams that occur once end here.
 2. Contexts. What stands around an anchor inside its windows (at most `least` - k bytes before it,
    `least` bytes from it on) decides everything. Equal contexts are one entry with a count: copies
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import KeyFilter, cut
 from tessella.llm.words import PIECE, Powers, mix, runs, seeded, texts_of
 
-LEAST, GRAM = 200, 40
+LEAST, GRAM = 200, 100
 LARGEST = 20_000
 RANGE_KEYS = 1 << 18  # anchors of a hash range, about
 
