@@ -13,6 +13,10 @@ from tessella.llm import line_dedup, mixing, near_dedup, pieces, quality
 from tessella.llm.shared import cut
 
 
+NEAR_PERCENT = 80  # similarity of word 5-shingles from which documents are near-duplicates
+NEAR_BANDS, NEAR_ROWS = 40, 6  # a link of 0.80 misses all bands with chance 1e-6
+
+
 def with_n_chars(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -32,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents the one with the smallest id stays; of repeated rows, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS).where("kept and doc_id is not null").select("doc_id").distinct()
     one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     out = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
     return out.select(docs.columns).union(docs.where("doc_id is null"))

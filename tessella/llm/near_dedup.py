@@ -16,8 +16,9 @@ Defined cases: null, empty or blank texts have no shingles and link with nothing
 id take no part and get component_id null, kept true. Repeated rows are each reported. Only the two
 named columns are read, so extra columns with any names are harmless.
 
-Recall: a link at the threshold misses all bands with chance (1 - 0.86**rows)**bands (about 1e-6 for
-the defaults, 0.85 similarity), and its estimate falls below threshold - margin with less than that.
+Recall: a link at the threshold misses all bands with chance (1 - p**rows)**bands, p the chance that
+two registers agree: about 1e-6 for the defaults at 0.85 similarity (p = 0.86), and for 40 bands of 6
+at 0.80 (p = 0.82). Its estimate falls below threshold - margin with less than that.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
 from tessella.llm.shared import cut, stream_groups
-from tessella.llm.sketch import Sketcher, jaccard
+from tessella.llm.sketch import SPACING, Sketcher, greater, jaccard
 from tessella.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 32, 7
-MARGIN = 0.12  # five standard errors of the estimate at 224 registers
+MARGIN = 0.12  # about five standard errors of the estimate at 224 registers and 0.85
 BLOCK = 1024  # classes of a bucket that are compared at once, at most
 BLOCK_ITEMS = 2_000_000  # and shingles of theirs, about
 LEAVES = 64  # checks against one centre that share a copy of it
@@ -47,6 +48,21 @@ def _keys(items: np.ndarray) -> tuple[int, int]:
         return int(mix(items).sum().astype(np.int64)), int(mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64))
 
 
+def agreement(percent: int) -> float:
+    """Chance that a register is equal in two sets of one size at the threshold."""
+    return 1 - 2 * float(greater(np.float64((1 - percent / 100) / 2)))
+
+
+def margin(percent: int, registers: int) -> float:
+    """MARGIN in the standard errors of another threshold and number of registers."""
+
+    def error(percent: int, registers: int) -> float:
+        p, step = agreement(percent), (SPACING - 1) / SPACING
+        return float(np.sqrt(p * (1 - p) / registers) * (1 - (1 - percent / 100) / 2 * step))
+
+    return MARGIN * error(percent, registers) / error(85, BANDS * ROWS)
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, width: int, registers: int) -> DataFrame:
     """id, n_shingles, k1, k2 (null for empty sets), sketch."""
 
@@ -175,7 +191,7 @@ def crossed(members: DataFrame, percent: int, floor: float, rows: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each row of docs."""
-    floor = percent / 100 - MARGIN
+    floor = percent / 100 - margin(percent, bands * rows)
     feats = cut(features(docs, id_col, text_col, width, bands * rows), "features")
     known = feats.where("k1 is not null and id is not null")
     classes = known.groupBy(F.col("k1").alias("key"), "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -8,7 +8,7 @@ import corpus_pipeline  # noqa: E402
 from test_line_dedup import brute as line_brute  # noqa: E402
 from test_near_dedup import brute as near_brute  # noqa: E402
 
-from tessella.llm import line_dedup, mixing, pieces  # noqa: E402
+from tessella.llm import line_dedup, mixing, near_dedup, pieces  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -49,3 +49,18 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
             docs = f(spark, docs, str(tmp_path))
             assert docs.columns == df.columns
         docs.collect()
+
+
+def test_near_duplicates_from_similarity_80(spark, sf):
+    def text(name, own):  # 100 shingles, `own` of them its own
+        return " ".join([f"{name}{i}" for i in range(104 - own)] + [f"{name}own{own}x{i}" for i in range(own)])
+
+    rows = [(1, text("a", 0)), (2, text("a", 10)), (3, text("b", 0)), (4, text("b", 13)), (5, text("c", 0)), (6, text("c", 5))]  # 90/110, 87/113, 95/105
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf).collect()) == [1, 3, 4, 5]
+
+
+def test_bands_and_margin_hold_recall_at_80():
+    bands, rows, percent = corpus_pipeline.NEAR_BANDS, corpus_pipeline.NEAR_ROWS, corpus_pipeline.NEAR_PERCENT
+    assert percent == 80 and (1 - near_dedup.agreement(percent) ** rows) ** bands < 2e-6
+    assert near_dedup.margin(percent, bands * rows) > near_dedup.margin(85, 224) == near_dedup.MARGIN
