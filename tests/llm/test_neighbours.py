@@ -66,3 +66,26 @@ def test_recall_of_random_directions(spark):
         hits, total = hits + len(want & {i for i, _ in got[ids[q]]}), total + 20
     print("recall", hits / total)
     assert hits / total >= 0.93
+
+
+@pytest.mark.parametrize("norms", ["spread", "one large"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "spread":
+        x *= np.exp(0.3 * rng.normal(size=(2500, 1)))
+    else:
+        x[1234] *= 10
+    rows = [(i, [float(v) for v in y], "", "") for i, y in enumerate(x.astype(np.float32))]
+    got, want = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), every=50, small=0)), brute(rows, 20, 50)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_queries_that_find_too_few_are_completed(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in y], "", "") for i, y in enumerate(x.astype(np.float32))]
+    got, want = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), every=5, tables=1, probes=1, small=0)), brute(rows, 20, 5)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
