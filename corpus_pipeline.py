@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand (nearly) elsewhere go; documents of which nothing is left go with them."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, exact_bytes=line_dedup.EXACT_BYTES)
     empty = (F.col("_line_removed") > 0) & (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]")) == 0)
     return with_n_chars(out.where(~empty).select(docs.columns))
 

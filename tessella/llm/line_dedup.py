@@ -17,7 +17,8 @@ pairwise, and within a block only links that join two components are verified fu
 at most one less than its lines.
 
 Defined cases: null or empty texts have no lines and stay as they are. Lines under `min_bytes` are
-never removed nor compared. A line repeated within a document stays once. Null ids count as the
+never linked to others; those of `exact_bytes` or more that hold more than white space go where they
+equal another, the rest always stay (without `exact_bytes` all lines under `min_bytes` do). A line repeated within a document stays once. Null ids count as the
 smallest id; rows with equal ids count as one document for what comes first (equal rows both keep
 their lines). Line ends are "\\n" alone; a removed line takes its line end with it. Empty tables give
 no rows. Other columns pass through; none of their names matter, but names that begin with "_line".
@@ -39,6 +40,7 @@ from tessella.llm.words import mix
 
 THRESHOLD = 2
 MIN_BYTES = 32
+EXACT_BYTES = 1  # shortest lines that the query and the pipeline remove where they are equal
 BLOCK = 2048  # lines of a group that are compared at once
 RANGE_KEYS = 1 << 20  # keys of a hash range, about
 LOWEST = -(1 << 63)
@@ -130,7 +132,12 @@ def line_id(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
+def counts(line: bytes, least: int, exact: int) -> bool:
+    """Whether a line belongs to a class: with lines near it, or under `least` bytes with equal ones alone."""
+    return len(line) >= least or (len(line) >= exact and not line.isspace())
+
+
+def line_rows(docs: DataFrame, least: int, exact: int) -> DataFrame:
     """id, dk, h1, h2, no of the first occurrence of each line in each document. docs: id, dk, text."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +147,7 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
                 for i, text in enumerate(batch.column(2).slice(lo, 500)):
                     seen = set()
                     for k, line in enumerate(text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else ()):
-                        if len(line) >= least and line not in seen:
+                        if line not in seen and counts(line, least, exact):
                             seen.add(line)
                             who.append(lo + i), h1.append(line_id(line)), h2.append(xxhash.xxh3_64_intdigest(line, 1) - (1 << 63)), no.append(k)
                 if who:
@@ -277,10 +284,10 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
     return members.select(*group, "line", "text", "side").repartition(*group).sortWithinPartitions(*group).mapInArrow(over, "a long, b long").distinct()
 
 
-def removals(docs: DataFrame, threshold: int, least: int, block: int = 0) -> DataFrame:
+def removals(docs: DataFrame, threshold: int, least: int, exact: int, block: int = 0) -> DataFrame:
     """id, dk, gone: for documents (id, dk, text) the ids of lines that stay elsewhere."""
     block = block or BLOCK
-    rows = cut(line_rows(docs, least), "lines")
+    rows = cut(line_rows(docs, least, exact), "lines")
     per_line = 3 * (threshold + 1) ** 2 // 2
     ranges = max(8, -(-rows.count() * per_line // RANGE_KEYS))
     met = cut(groups(packed_keys(docs, threshold, least, ranges), ranges), "groups")
@@ -319,11 +326,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(F.col(text_col)).alias("dk"), F.col(text_col).alias("text"))
 
 
-def kept_lines(text: bytes, gone: list[int] | None, least: int) -> tuple[bytes, int, int]:
+def kept_lines(text: bytes, gone: list[int] | None, least: int, exact: int) -> tuple[bytes, int, int]:
     """The text without removed and repeated lines, its number of lines, how many went."""
     lines, out, seen, gone = text.split(b"\n"), [], set(), set(gone or ())
     for line in lines:
-        if len(line) >= least:
+        if counts(line, least, exact):
             if line in seen:
                 continue
             seen.add(line)
@@ -333,10 +340,10 @@ def kept_lines(text: bytes, gone: list[int] | None, least: int) -> tuple[bytes,
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """docs' columns with the deduplicated text, and _line_n, _line_removed (0 for null texts)."""
-    own = keyed(docs, id_col, text_col)
-    gone = removals(own, threshold, min_bytes).withColumnRenamed("id", "_line_id").withColumnRenamed("dk", "_line_dk").withColumnRenamed("gone", "_line_gone")
+    own, exact = keyed(docs, id_col, text_col), min_bytes if exact_bytes is None else max(1, exact_bytes)
+    gone = removals(own, threshold, min_bytes, exact).withColumnRenamed("id", "_line_id").withColumnRenamed("dk", "_line_dk").withColumnRenamed("gone", "_line_gone")
     rows = docs.withColumns({"_line_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "_line_dk": F.xxhash64(F.col(text_col))})
     rows = rows.join(gone, ["_line_id", "_line_dk"], "left").select(*docs.columns, "_line_gone")
     at, n = docs.columns.index(text_col), len(docs.columns)
@@ -346,7 +353,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                done = [kept_lines(t.as_buffer().to_pybytes(), g, min_bytes) if t.is_valid and len(t.as_buffer()) else (None if not t.is_valid else b"", 0, 0) for t, g in zip(part.column(at), part.column(n).to_pylist())]
+                done = [kept_lines(t.as_buffer().to_pybytes(), g, min_bytes, exact) if t.is_valid and len(t.as_buffer()) else (None if not t.is_valid else b"", 0, 0) for t, g in zip(part.column(at), part.column(n).to_pylist())]
                 text = pa.array([d[0] for d in done], pa.binary()).cast(pa.string())
                 cols = [text if i == at else part.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=names)

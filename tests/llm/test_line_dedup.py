@@ -116,3 +116,32 @@ def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(rows, line_dedup.THRESHOLD, line_dedup.MIN_BYTES)
     assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def brute_with_short(rows, threshold, least):
+    """The same, and of equal lines under `least` bytes that are not blank the first alone."""
+    seen, out = set(), {}
+    for i, t in sorted(brute(rows, threshold, least).items()):
+        kept = []
+        for line in (t or "").split("\n"):
+            if len(line.encode()) < least and line.strip(" \t\r\x0b\x0c"):
+                if line in seen:
+                    continue
+                seen.add(line)
+            kept.append(line)
+        out[i] = None if t is None else "\n".join(kept)
+    return out
+
+
+def test_equal_short_lines_go(spark):
+    rows = [(i * 7 % 1009, t, "", "") for i, t in enumerate([*texts(7), None, "", "\n\n", "a\nb\na", " a\n \nb\n \n", "c\n\n\t\nc", "All rights reserved.\nx", "y\nAll rights reserved.", "z\nAll rights reserved?"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), min_bytes=24, exact_bytes=1).collect()}
+    assert got == brute_with_short(rows, 2, 24)
+    assert sum((t or "").split("\n").count("All rights reserved.") for t in got.values()) == 1 and "z\nAll rights reserved?" in got.values()
+
+
+def test_query_removes_equal_short_lines(spark, sf):
+    got = {r["doc_id"]: r for r in queries.op7_line_dedup(spark, sf).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_with_short(rows, line_dedup.THRESHOLD, line_dedup.MIN_BYTES)
+    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
