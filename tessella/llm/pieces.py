@@ -2,11 +2,12 @@
 
 A text is cut where no merge can cross (before runs of the space mark, around characters that no
 longer piece contains); each chunk runs the merge agenda: the best-scored adjacent pair first, the
-leftmost of equals. A candidate is skipped for good when a keyed hash of (seed, chunk, variant,
-position, piece) falls below the dropout rate; merges around it make new candidates. `variants`
-draws of the hash are dealt out by a keyed hash of the document and the chunk's place, so a word is
-segmented differently from place to place while the work for (chunk, draw) is done once. With a rate
-of 0 the result is the model's own encoding.
+leftmost of equals. A candidate is skipped for good when a keyed hash of (seed, document, the chunk's
+place, position, piece) falls below the dropout rate; merges around it make new candidates. What a
+chunk becomes depends only on which candidates are skipped, so a tree of outcomes is remembered: a
+node holds the result if nothing more is skipped and the candidates of the way there, and its
+children are reached by the first one that is. With `variants` above 0 there are only that many
+draws, dealt out by document and place. With a rate of 0 the result is the model's own encoding.
 
 Decoding joins pieces and turns space marks into spaces; a space mark that the text holds itself is
 written as bytes, so every text comes back exactly.
@@ -37,13 +38,14 @@ from tessella.llm.words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
+VARIANTS = 0  # draws of a chunk; 0: one at each place
 SEED = 1
 MARK = "▁"
 KEPT = 500_000  # chunks that a worker remembers
 WIDE = 40  # longest chunks that are merged many at a time
 SLOTS = 20  # bits of the table of pairs
 MANY = 8192  # chunks that are merged at once
+DEEP = 6  # skips of a chunk that are remembered; with more it is merged for its place alone
 
 
 def load(model: str = MODEL) -> bytes:
@@ -88,20 +90,21 @@ class Pieces:
         for c in self.known:
             self.of_code[ord(c)] = self.ids[c]
         self.pair_table()
+        self.forget()
 
     def skipped(self, key: int, at: int, score: float) -> bool:
         """Whether the candidate of this place and piece (told by its score) is left out."""
         x = (key ^ at * 0x9E3779B97F4A7C15 ^ int(score) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
         return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) < self.limit
 
-    def merge(self, chunk: str, variant: int) -> tuple:
-        """Ids of one chunk."""
+    def merge(self, chunk: str, variant: int, place: int | None = None) -> tuple:
+        """Ids of one chunk, of a draw or of a place's hash."""
         ids = self.ids
         if len(chunk) > 64:
-            symbols = self.agenda(chunk, variant)
+            symbols = self.agenda(chunk, variant, place)
         else:
             symbols, get, none, skipped = list(chunk), self.scores.get, -1e30, self.skipped
-            key, at = self.key(chunk, variant), list(range(len(symbols)))
+            key, at = self.key(chunk, variant) if place is None else place, list(range(len(symbols)))
             pair = [get(chunk[i : i + 2], none) for i in range(len(symbols) - 1)]
             while pair:
                 best = max(pair)
@@ -129,11 +132,11 @@ class Pieces:
         """The keyed hash of a chunk and draw; 0 without dropout."""
         return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) | 1 if self.limit else 0
 
-    def agenda(self, chunk: str, variant: int) -> list[str]:
+    def agenda(self, chunk: str, variant: int, place: int | None = None) -> list[str]:
         """The same with a heap, for long chunks."""
         from heapq import heapify, heappop, heappush
 
-        scores, key, n = self.scores, self.key(chunk, variant), len(chunk)
+        scores, key, n = self.scores, self.key(chunk, variant) if place is None else place, len(chunk)
         symbol, left, right = list(chunk), list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(-scores[a + b], i, i + 1, a + b) for i, (a, b) in enumerate(zip(chunk, chunk[1:])) if a + b in scores]
         heapify(heap)
@@ -158,7 +161,7 @@ class Pieces:
 
     def encode_many(self, texts: list[str], salts: list[int]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers. Chunks new to the cache are merged together."""
-        keys, ends = [], [0]
+        keys, ends, places = [], [0], []
         for text, salt in zip(texts, salts):
             text = text.replace(MARK, "￾") if MARK in text else text
             chunks = self.chunks.findall(((" " if self.prefix else "") + text).replace(" ", MARK)) if text else []
@@ -167,8 +170,16 @@ class Pieces:
             else:
                 with np.errstate(over="ignore"):
                     x = mix(np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+                if not self.variants:
+                    keys += chunks
+                    places.append(x)
+                    ends.append(len(keys))
+                    continue
                 keys += map(add, map(self.draws.__getitem__, (x % np.uint64(self.variants)).tolist()), chunks)
             ends.append(len(keys))
+        if not self.variants:
+            found = self.drawn(keys, self.place_keys(places))
+            return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
         if len(self.cache) > KEPT:
             self.cache = {}
         cache = self.cache
@@ -189,13 +200,91 @@ class Pieces:
                 del cache[k]
         return out
 
+    def place_keys(self, places: list[np.ndarray]) -> np.ndarray:
+        """The keyed hash of each place."""
+        return mix(np.concatenate([np.zeros(0, np.uint64), *places]) ^ mix(np.array([self.seed], np.int64).view(np.uint64)))
+
+    def forget(self) -> None:
+        """Empties the tree of outcomes."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}  # by node * 1024 + the candidate that is skipped
+        self.nodes: list[tuple[str, tuple, bytes]] = []  # chunk, steps that are skipped, ids
+        self.start, self.codes = np.zeros(1, np.int64), np.zeros(0, np.uint64)  # candidates of each node
+
+    def grow(self, wanted: list[tuple[str, tuple]]) -> None:
+        """New nodes of (chunk, steps that are skipped), in this order."""
+        starts, codes = [self.start], [self.codes]
+        for lo in range(0, len(wanted), MANY):
+            part = wanted[lo : lo + MANY]
+            ids, counts, found = self.merge_block([c for c, _ in part], skips=[d for _, d in part])
+            self.nodes += [(c, d, x) for (c, d), x in zip(part, ids)]
+            starts.append(starts[-1][-1] + np.cumsum(counts))
+            codes.append(found)
+        self.start, self.codes = np.concatenate(starts), np.concatenate(codes)
+
+    def drawn(self, chunks: list[str], place: np.ndarray) -> list[bytes]:
+        """Ids of each chunk, each candidate drawn by the hash of its place."""
+        if len(self.nodes) > KEPT:
+            self.forget()
+        new = {c for c in chunks if c not in self.roots}
+        fit = sorted((c for c in new if len(c) <= WIDE and self.known.issuperset(c)), key=lambda c: (len(c), c))
+        first = len(self.nodes)
+        self.grow([(c, ()) for c in fit]) if fit else None
+        self.roots.update(zip(fit, range(first, first + len(fit))))
+        node = np.array([self.roots.get(c, -1) for c in chunks], np.int64)
+        live, limit = np.flatnonzero(node >= 0), np.uint64(min(self.limit, 2**64 - 1))
+        for _ in range(DEEP + 1):
+            at = node[live]
+            start, count = self.start[at], self.start[at + 1] - self.start[at]
+            row = np.repeat(np.arange(len(live)), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            x = place[live[row]] ^ self.codes[start[row] + step]
+            with np.errstate(over="ignore"):
+                hit = np.flatnonzero((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) < limit)
+            row, one = np.unique(row[hit], return_index=True)
+            live, keys = live[row], at[row] * 1024 + step[hit[one]]
+            if not len(live) or _ == DEEP:
+                break
+            keys, inverse = np.unique(keys, return_inverse=True)
+            gaps = [k for k in keys.tolist() if k not in self.children]
+            wanted = []
+            for k in gaps:
+                chunk, skips, _ids = self.nodes[k >> 10]
+                wanted.append((chunk, (*skips, (skips[-1] + 1 if skips else 0) + (k & 1023))))
+            first = len(self.nodes)
+            self.grow(wanted) if gaps else None
+            self.children.update(zip(gaps, range(first, first + len(gaps))))
+            node[live] = np.array([self.children[k] for k in keys.tolist()], np.int64)[inverse]
+        found = [self.nodes[i][2] if i >= 0 else b"" for i in node.tolist()]
+        for lo in range(0, len(live), MANY):  # those with more skips
+            at = live[lo : lo + MANY]
+            for i, x in zip(at.tolist(), self.merge_block([chunks[i] for i in at.tolist()], place[at])[0]):
+                found[i] = x
+        for i in np.flatnonzero(node < 0).tolist():
+            found[i] = array("i", self.merge(chunks[i], 0, int(place[i]))).tobytes()
+        return found
+
     def merge_many(self, keys: list[str]) -> list[bytes]:
-        """The same as merge for many short chunks of known characters: one merge or skip of each a round."""
+        """The same as merge for many short chunks of known characters, told by draw and chunk."""
+        return self.merge_block([k[1:] for k in keys], np.array([self.key(k[1:], ord(k[0])) for k in keys], np.uint64))[0]
+
+    def merge_block(self, keys: list[str], key: np.ndarray | None = None, skips: list[tuple] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of many short chunks of known characters: one merge or skip of each a round.
+
+        Skipped is by the hash `key` of each, or the steps (rounds) in `skips`: then the candidates
+        after the last of them come out too, as numbers of each chunk and what goes into the hash.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if not keys:
-            return []
-        length = np.array([len(k) - 1 for k in keys])
+            return [], *none
+        if skips is not None:
+            base = np.array([d[-1] + 1 if d else 0 for d in skips])
+            forced = np.zeros((len(keys), int(base.max()) + 1), bool)
+            for i, d in enumerate(skips):
+                forced[i, list(d)] = True
+        length = np.array([len(k) for k in keys])
         n, wide = len(keys), int(length.max())
-        raw = np.frombuffer("".join(k[1:].ljust(wide, "\x00") for k in keys).encode("utf-32-le"), np.uint32).reshape(n, wide)
+        raw = np.frombuffer("".join(k.ljust(wide, "\x00") for k in keys).encode("utf-32-le"), np.uint32).reshape(n, wide)
         real = np.arange(wide)[None, :] < length[:, None]
         symbol = self.of_code[raw].astype(np.int64)
         symbol[~real] = -1
@@ -205,8 +294,7 @@ class Pieces:
         if wide > 1:
             whole[:, :-1] = np.where(real[:, 1:], self.pair(symbol[:, :-1], symbol[:, 1:]), -1)
             score = np.where(whole >= 0, self.score_of[whole], -np.inf)
-        key = np.array([self.key(k[1:], ord(k[0])) for k in keys], np.uint64)
-        rows = np.arange(n)
+        rows, step, whose, seen = np.arange(n), 0, [], []
         while len(rows):
             j = score[rows].argmax(axis=1)
             best = score[rows, j]
@@ -214,8 +302,15 @@ class Pieces:
             rows, j, best = rows[going], j[going], best[going]
             if self.limit and len(rows):
                 with np.errstate(over="ignore"):
-                    x = key[rows] ^ j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (best.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                    left_out = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) < np.uint64(min(self.limit, 2**64 - 1))
+                    x = j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (best.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                    if skips is not None:
+                        after = base[rows] <= step
+                        whose.append(rows[after]), seen.append(x[after])
+                        left_out = forced[rows, min(step, forced.shape[1] - 1)]
+                        step += 1
+                    else:
+                        x ^= key[rows]
+                        left_out = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) < np.uint64(min(self.limit, 2**64 - 1))
                 score[rows[left_out], j[left_out]] = -np.inf
                 r, j = rows[~left_out], j[~left_out]
             else:
@@ -235,7 +330,11 @@ class Pieces:
             whole[r, before], score[r, before] = made, np.where(made >= 0, self.score_of[made], -np.inf)
         alive = real & (symbol != -2)
         flat, ends = symbol[alive].astype("<i4").tobytes(), [0, *(4 * np.cumsum(alive.sum(axis=1))).tolist()]
-        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+        ids = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        if not whose:
+            return ids, np.zeros(n, np.int64), none[1]
+        whose, seen = np.concatenate(whose), np.concatenate(seen)
+        return ids, np.bincount(whose, minlength=n), seen[np.argsort(whose, kind="stable")]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, -1 where there is none: open addressing with linear probes."""

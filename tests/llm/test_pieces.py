@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,3 +63,26 @@ def test_frames_and_query(spark, sf):
     assert pieces.digests(df.limit(0)).collect() == []
     got = queries.op8_pieces(spark, sf).collect()
     assert all(r["lossless"] for r in got) and len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_each_place_draws_its_own_segmentation(model):
+    p, free, rng = pieces.Pieces(model), pieces.Pieces(model), random.Random(6)
+    free.skipped = lambda *_: rng.random() < pieces.DROPOUT
+    for word in ("▁the", "▁words", "rs"):
+        want = Counter(free.merge(word, 0, 1) for _ in range(20000))
+        many = p.drawn([word] * 20000, p.place_keys([np.arange(20000, dtype=np.uint64)]))
+        got = Counter(tuple(np.frombuffer(x, "<i4").tolist()) for x in many)
+        assert len(got) > 1 and all(abs(got[x] - want[x]) < 400 for x in {*got, *want})
+    long = "▁internationalisation"
+    assert len(set(p.drawn([long] * 2000, p.place_keys([np.arange(2000, dtype=np.uint64)])))) > 20
+
+
+@pytest.mark.parametrize("rate,deep", [(0.1, 6), (0.5, 2), (0.5, 6), (1.0, 3)])
+def test_remembered_outcomes_equal_merging_each_place(model, monkeypatch, rate, deep):
+    monkeypatch.setattr(pieces, "DEEP", deep)
+    p, rng = pieces.Pieces(model, rate), random.Random(4)
+    words = ["▁the", "▁internationalisation", "▁" + "a" * 30, "▁日🦊x", "b" * 50, "ab" * 60, "x"] + ["".join(rng.choice("etaoinsrh") for _ in range(rng.randint(1, 20))) for _ in range(40)]
+    chunks = [rng.choice(words) for _ in range(1500)]
+    place = p.place_keys([np.arange(len(chunks), dtype=np.uint64)])
+    for _ in range(2):  # new and remembered
+        assert [tuple(np.frombuffer(x, "<i4").tolist()) for x in p.drawn(chunks, place)] == [p.merge(c, 0, int(x)) for c, x in zip(chunks, place)]
