@@ -39,6 +39,7 @@ TABLES, PROBES, PARTS = 24, 5, 1
 SMALL = 1000
 CHUNK = 4096  # vectors that a packed set of rows comes from
 CELL_QUERIES, CELL_VECTORS = 4096, 65536
+TIES = 1 << 17  # vectors whose exact scores are held at once, about
 EVEN = 0.99  # smallest norm, as a share of the largest, at which directions alone are hashed
 SCAN_CHUNK, SCAN_VECTORS, SCAN_CELLS = 512, 2048, 64  # vectors of a packed set and, at least, of a cell of a scan; its cells while these do
 
@@ -114,6 +115,32 @@ def better(score: np.ndarray, low: np.ndarray, keys: np.ndarray, k: int) -> np.n
     return order[np.sort(first)[:k]]
 
 
+def k_best(q: np.ndarray, keys: np.ndarray, lows: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """(score, key, low) of the k best vectors of each query, ties by smaller low; score -inf where there are none."""
+    s = q @ x.T
+    take = min(k, s.shape[1])
+    out = [np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int64)]
+    # All that may reach the k-th score, up to rounding of the block's product.
+    slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    least = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take] - slack
+    near = s >= least[:, None]
+    ends = np.cumsum(near.sum(axis=1))
+    lo = 0
+    while lo < len(q):  # queries with a bounded number of finds, one at least
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TIES, side="right")))
+        row, col = np.nonzero(near[lo:hi])
+        # Exact and in a fixed order, whatever the block's shape was.
+        exact = (q[lo + row] * x[col]).sum(axis=1)
+        order = np.lexsort((lows[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        good = rank < k
+        for a, v in zip(out, (exact, keys[col], lows[col])):
+            a[lo + row[good], rank[good]] = v[good]
+        lo = hi
+    return out
+
+
 def rank_cells(cells: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
     """qkey and its k best (keys, lows, scores) of each cell; queries (side 0) come before vectors."""
 
@@ -144,11 +171,7 @@ def rank_cells(cells: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
                     continue
                 if q is None:
                     q = np.concatenate([a for a, _ in queries]), np.concatenate([b for _, b in queries])
-                s = q[1] @ x.T
-                take = min(k, s.shape[1])
-                top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.broadcast_to(np.arange(take), s.shape)
-                # Exact and in a fixed order, whatever the block's shape was.
-                new = [(q[1][:, None, :] * x[top]).sum(axis=2), keys[top], lows[top]]
+                new = k_best(q[1], keys, lows, x, k)
                 if best is not None:
                     new = [np.concatenate([a, b], axis=1) for a, b in zip(best, new)]
                 order = np.lexsort((new[2], -new[0]), axis=1)[:, :k]

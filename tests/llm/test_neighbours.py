@@ -89,3 +89,19 @@ def test_queries_that_find_too_few_are_completed(spark):
     rows = [(i, [float(v) for v in y], "", "") for i, y in enumerate(x.astype(np.float32))]
     got, want = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), every=5, tables=1, probes=1, small=0)), brute(rows, 20, 5)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("ties", [1 << 17, 50])
+def test_ties_at_the_boundary_go_to_smaller_ids(spark, monkeypatch, ties):
+    monkeypatch.setattr(neighbours, "TIES", ties)
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 2, size=(400, 8)), axis=0)
+    x = rng.permutation(x[x.any(axis=1)])  # different binary vectors, many of equal inner product
+    rows = [(i, [float(v) for v in y], "", "") for i, y in enumerate(x)]
+    got, want = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), every=5)), brute(rows, 20, 5)
+    assert got == want
+    q, y = rng.integers(0, 2, size=(30, 8)).astype(float), x.astype(float)
+    lows = rng.permutation(len(y))
+    score, _, low = neighbours.k_best(q, lows, lows, y, 5)
+    for i in range(len(q)):
+        assert low[i].tolist() == lows[np.lexsort((lows, -(y @ q[i])))[:5]].tolist()
