@@ -105,3 +105,14 @@ def test_ties_at_the_boundary_go_to_smaller_ids(spark, monkeypatch, ties):
     score, _, low = neighbours.k_best(q, lows, lows, y, 5)
     for i in range(len(q)):
         assert low[i].tolist() == lows[np.lexsort((lows, -(y @ q[i])))[:5]].tolist()
+
+
+def test_few_rows_and_equal_vectors_without_the_small_scan(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in y], "", "") for i, y in enumerate(x.astype(np.float32))]
+    few = found(neighbours.nearest(spark.createDataFrame(rows[:4], SCHEMA), small=0))
+    assert {q: [i for i, _ in v] for q, v in few.items()} == {q: [i for i, _ in v] for q, v in brute(rows[:4], 20, 20).items()}
+    same = [(i, [1.0] * 8, "", "") for i in range(90)]
+    assert found(neighbours.nearest(spark.createDataFrame(same, SCHEMA), small=0))[0] == [(i, 8.0) for i in range(1, 21)]
