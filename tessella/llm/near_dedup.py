@@ -3,7 +3,7 @@
 Steps, all distributed:
 
 1. one pass over the texts: distinct word shingles, a 128-bit key of the set, SetSketch registers;
-   documents with equal sets form one class and are handled once;
+   documents with equal sets form one class, which is numbered and handled once;
 2. bands of registers are hashed; in each bucket every class is paired with the bucket's smallest one;
 3. pairs whose likelihood estimate is far below the threshold go; the rest are checked on full sets;
    linked pairs are merged into components;
@@ -12,8 +12,9 @@ Steps, all distributed:
    link inside a bucket is lost, although only links are listed and pairs inside a component are
    never looked at.
 
-Defined cases: null, empty or blank texts have no shingles and link with nothing. Rows with a null
-id take no part and get component_id null, kept true. Repeated rows are each reported. Only the two
+Defined cases: null, empty or blank texts have no shingles and link with nothing. Ids are integers.
+Rows with a null id take no part and get component_id null, kept true. Repeated rows are each
+reported. Texts of any length are read whole, in parts. An empty table gives no rows. Only the two
 named columns are read, so extra columns with any names are harmless.
 
 Recall: a link at the threshold misses all bands with chance (1 - p**rows)**bands, p the chance that
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import cut, stream_groups
+from tessella.llm.shared import arrow, cut, integer, stream_groups
 from tessella.llm.sketch import SPACING, Sketcher, greater, jaccard
-from tessella.llm.words import mix, shingle_sets
+from tessella.llm.words import shingle_sets
 
 BANDS, ROWS = 32, 7
 MARGIN = 0.12  # about five standard errors of the estimate at 224 registers and 0.85
@@ -42,12 +43,6 @@ BLOCK_ITEMS = 2_000_000  # and shingles of theirs, about
 LEAVES = 64  # checks against one centre that share a copy of it
 
 
-def _keys(items: np.ndarray) -> tuple[int, int]:
-    """A 128-bit key of a set, as two signed numbers."""
-    with np.errstate(over="ignore"):
-        return int(mix(items).sum().astype(np.int64)), int(mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64))
-
-
 def agreement(percent: int) -> float:
     """Chance that a register is equal in two sets of one size at the threshold."""
     return 1 - 2 * float(greater(np.float64((1 - percent / 100) / 2)))
@@ -70,13 +65,14 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, registers:
         sketcher = Sketcher(registers)
         for batch in batches:
             n, k1, k2, sketch = [], [], [], []
-            for items in shingle_sets(batch.column(1), width):
-                a, b = _keys(items) if len(items) else (None, None)
+            for items, key in shingle_sets(batch.column(1), width):
+                a, b = key or (None, None)
                 n.append(len(items)), k1.append(a), k2.append(b)
                 sketch.append(sketcher(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "n", "k1", "k2", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(over, "id long, n long, k1 long, k2 long, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return arrow(rows, over, "id long, n long, k1 long, k2 long, sketch binary")
 
 
 def estimated(pairs: DataFrame, floor: float) -> DataFrame:
@@ -91,7 +87,7 @@ def estimated(pairs: DataFrame, floor: float) -> DataFrame:
             good = jaccard(one, other, na, nb) >= floor
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(over, "a long, b long")
+    return arrow(pairs.select("a", "b", "na", "nb", "sa", "sb"), over, "a long, b long")
 
 
 def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -132,7 +128,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(over, "a long, b long")
+    return arrow(rows, over, "a long, b long")
 
 
 def crossed(members: DataFrame, percent: int, floor: float, rows: int) -> DataFrame:
@@ -186,16 +182,19 @@ def crossed(members: DataFrame, percent: int, floor: float, rows: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
 
     group = ["band", "bh", "i", "j"]
-    return members.select(*group, "side", "label", "key", "n", "sketch", "items").repartition(*group).sortWithinPartitions(*group).mapInArrow(over, "a long, b long")
+    ordered = members.select(*group, "side", "label", "key", "n", "sketch", "items").repartition(*group).sortWithinPartitions(*group)
+    return arrow(ordered, over, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each row of docs."""
+    integer(docs, id_col)
     floor = percent / 100 - margin(percent, bands * rows)
     feats = cut(features(docs, id_col, text_col, width, bands * rows), "features")
     known = feats.where("k1 is not null and id is not null")
-    classes = known.groupBy(F.col("k1").alias("key"), "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.drop("k2"), "classes")
+    classes = known.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    # Written once and only read from then on, so that the numbers hold.
+    classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     hashed = [F.xxhash64(F.lit(i), F.substring("sketch", i * rows + 1, rows)) for i in range(bands)]
     banded = classes.select("key", "n", F.posexplode(F.array(*hashed)).alias("band", "bh"))
     shared = banded.groupBy("band", "bh").agg(F.min("key").alias("a"), F.count("*").alias("size"), F.sum("n").alias("items")).where("size > 1")
@@ -208,18 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(left, "a").join(sketches.toDF("b", "nb", "sb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     # Full sets of the classes that share a bucket with another, from one member's text each.
-    wanted = classes.join(buckets.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
+    wanted = classes.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "k1", "k2", "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out, good = batch.column(0).to_pylist(), [], []
-            for i, items in enumerate(shingle_sets(batch.column(1), width)):
-                if len(items) and _keys(items)[0] == keys[i]:
+            keys, k1, k2 = (batch.column(i).to_pylist() for i in range(3))
+            out, good = [], []
+            for i, (items, key) in enumerate(shingle_sets(batch.column(3), width)):
+                if key == (k1[i], k2[i]):  # of several texts under an id, the class's own
                     good.append(keys[i]), out.append(items.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64()), pa.array(out, pa.binary())], names=["key", "items"])
 
-    sets = texts.join(wanted, "_id").select("key", "text").mapInArrow(sets_of, "key long, items binary")
+    sets = arrow(texts.join(wanted, "id").select("key", "k1", "k2", "text"), sets_of, "key long, items binary")
     sets = cut(sets.dropDuplicates(["key"]), "sets")
 
     links = cut(verified(estimated(with_sketches(stars), floor), sets, percent), "links")
@@ -235,10 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(crossed(members, percent, floor, rows), "links")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
-    place = known.select("id", F.col("k1").alias("key")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("id", F.col("key"), F.coalesce("label", "key").alias("label"))
-    least = place.groupBy("label").agg(F.min("id").alias("component_id"))
-    member = place.select("key", "label").distinct().join(least, "label").select(F.col("key").alias("k1"), "component_id")
-    out = feats.select("id", "n", "k1").join(member, "k1", "left")
-    component = F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(component)
+    # Only classes of several rows or with links have anything to tell their documents.
+    own = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("k1", "k2", "id", "rows", "label", F.coalesce("label", "key").alias("group"))
+    least = own.groupBy("group").agg(F.min("id").alias("component_id"))
+    told = own.where("rows > 1 or label is not null").join(least, "group").select("k1", "k2", "component_id")
+    out = feats.select("id", "n", "k1", "k2").join(told, ["k1", "k2"], "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))

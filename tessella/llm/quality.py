@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import small_batches
+from tessella.llm.shared import arrow, small_batches
 from tessella.llm.words import WordHasher, runs, texts_of
 
 MAX_ROWS = 20_000  # labelled rows that are used to fit, at most
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = feature_rows(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "mark", "x"])
 
-    got = rows.mapInArrow(over, "id long, mark int, x binary").orderBy("id", "mark", "x").limit(max_rows).toArrow()
+    got = arrow(rows, over, "id long, mark int, x binary").orderBy("id", "mark", "x").limit(max_rows).toArrow()
     good = np.array(got["mark"].to_pylist(), int) == 1
     if not good.any() or good.all():
         return None
@@ -157,7 +157,7 @@ def scored(docs: DataFrame, model: dict | None, text_col: str = "text", threshol
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(s)], names=[*(batch.schema.names[i] for i in kept), name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema.fields[i] for i in kept))
-    return docs.mapInArrow(over, f"{fields}, `{name}` double")
+    return arrow(docs, over, f"{fields}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -67,6 +67,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer(df: DataFrame, column: str) -> None:
+    """Ids that are to be ordered as numbers must be numbers: a cast would turn others into nulls."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; integers are needed")
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Runs of equal keys over batches that are sorted by them; yields slices, never a whole partition.
 

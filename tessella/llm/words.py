@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing over UTF-8 bytes (numpy).
 
 Words are runs of bytes outside ASCII white space (0x20, 0x09-0x0D); A-Z is lower-cased first.
-Hashes are 64-bit: a polynomial over a random byte table, finished by an avalanche mix.
+Hashes are 64-bit: a word's bytes go through an avalanche mix eight at a time, longer words through
+XXH3, each of two families under its own seed. Nothing of a hash is linear in the bytes.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20  # bytes that are hashed at once; a longer text goes alone
+LANES = 8  # eight bytes each: longer words are hashed one by one
+FAMILIES = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,9 +87,10 @@ def runs(off: np.ndarray, piece: int = PIECE) -> Iterator[tuple[int, int]]:
 
 class WordHasher:
     def __init__(self) -> None:
-        self.powers, self.bytes = Powers(), seeded(256, 11)
-        low = lower_table()
-        self.space, self.bytes = space_table(), self.bytes[low]
+        self.low, self.space = lower_table(), space_table()
+        with np.errstate(over="ignore"):
+            self.mask = np.uint64(2**64 - 1) >> (np.uint64(64) - np.arange(9, dtype=np.uint64) * np.uint64(8))
+        self.mask[0] = 0
 
     def spans(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of words; no word crosses a position in `starts`."""
@@ -98,26 +103,37 @@ class WordHasher:
         end[inner - 1] = word[inner - 1]
         return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
-    def hashes(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        up, down = self.powers.upto(len(raw) + 1)
+    def hashes(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: int = 0) -> np.ndarray:
+        size = hi - lo
+        padded = np.concatenate([self.low[raw], np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))
         with np.errstate(over="ignore"):
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(self.bytes[raw] * up[: len(raw)], out=total[1:])
-            return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-
-    def words(self, off: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For runs of rows: first row, word hashes of them all, and each row's first word (one more at the end)."""
+            out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(FAMILIES[family]))
+            at = None
+            for lane in range(LANES):
+                at = np.flatnonzero(size > 8 * lane) if lane else np.flatnonzero(size > 0)
+                if not len(at):
+                    break
+                x = eight[lo[at] + 8 * lane].view(np.uint64)[:, 0] & self.mask[np.minimum(size[at] - 8 * lane, 8)]
+                out[at] = mix((out[at] ^ x) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(FAMILIES[1 - family]))
+        for i in np.flatnonzero(size > 8 * LANES).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(padded[lo[i] : hi[i]], FAMILIES[family])
+        return out
+
+    def words(self, off: np.ndarray, raw: np.ndarray, families: tuple = (0,)) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """For runs of rows: first row, word hashes of them all by family, and each row's first word (one more at the end)."""
         for lo, hi in runs(off):
             part = raw[off[lo] : off[hi]]
             own = off[lo : hi + 1] - off[lo]
             if hi == lo + 1 and len(part) > 4 * PIECE:
-                hashed = np.concatenate([*self._long(part)] or [np.zeros(0, np.uint64)])
-                yield lo, hashed, np.array([0, len(hashed)])
+                parts = [*self._long(part, families)]
+                hashed = [np.concatenate([p[f] for p in parts] or [np.zeros(0, np.uint64)]) for f in range(len(families))]
+                yield lo, hashed, np.array([0, len(hashed[0])])
                 continue
             a, b = self.spans(part, own[:-1])
-            yield lo, self.hashes(part, a, b), np.searchsorted(a, own)
+            yield lo, [self.hashes(part, a, b, f) for f in families], np.searchsorted(a, own)
 
-    def _long(self, raw: np.ndarray) -> Iterator[np.ndarray]:
+    def _long(self, raw: np.ndarray, families: tuple) -> Iterator[list[np.ndarray]]:
         """A very long text in pieces that end at white space."""
         lo = 0
         while lo < len(raw):
@@ -130,25 +146,36 @@ class WordHasher:
                 hi = min(len(raw), hi + PIECE)
             part = raw[lo:hi]
             a, b = self.spans(part, np.zeros(1, np.int64))
-            yield self.hashes(part, a, b)
+            yield [self.hashes(part, a, b, f) for f in families]
             lo = hi
 
 
-def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
-    """Per row, the sorted distinct 64-bit hashes of its word shingles (fewer words: the whole as one)."""
-    hasher, coef = WordHasher(), seeded(width, 5, odd=True)
+def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[np.ndarray, tuple[int, int] | None]]:
+    """Per row, the sorted distinct 64-bit hashes of its word shingles (fewer words: the whole as one),
+    and a 128-bit key of the set as two signed numbers, one of each family of hashes (None: empty)."""
+    hasher, coefs = WordHasher(), [seeded(width, seed, odd=True) for seed in (5, 6)]
     off, raw = texts_of(column)
+
+    def total(x: np.ndarray) -> int:
+        return int(mix(x).sum(dtype=np.uint64).astype(np.int64))
+
     with np.errstate(over="ignore"):
-        for _, words, first in hasher.words(off, raw):
-            n = max(0, len(words) - width + 1)
-            rolled = np.zeros(n, np.uint64)
-            for k in range(width if n else 0):
-                rolled += words[k : k + n] * coef[k]
-            rolled = mix(rolled)
+        for _, words, first in hasher.words(off, raw, (0, 1)):
+            n = max(0, len(words[0]) - width + 1)
+            rolled = [np.zeros(n, np.uint64) for _ in words]
+            for out, own, coef in zip(rolled, words, coefs):
+                for k in range(width if n else 0):
+                    out += own[k : k + n] * coef[k]
+                out[:] = mix(out)
             for a, b in zip(first[:-1], first[1:]):
                 if b - a >= width:
-                    yield np.unique(rolled[a : b - width + 1])
+                    one, other = (x[a : b - width + 1] for x in rolled)
+                    items = np.unique(one)
+                    if len(items) < len(one):
+                        other = other[np.unique(one, return_index=True)[1]]
+                    yield items, (total(items), total(other))
                 elif b > a:
-                    yield mix((words[a:b] * coef[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+                    items, other = (mix((w[a:b] * c[: b - a]).sum(keepdims=True) + np.uint64(b - a)) for w, c in zip(words, coefs))
+                    yield items, (total(items), total(other))
                 else:
-                    yield np.zeros(0, np.uint64)
+                    yield np.zeros(0, np.uint64), None

@@ -76,3 +76,33 @@ def test_query_on_small_tables(spark, sf):
     got = near_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()
     rows = [(r[0], r[1]) for r in docs.select("doc_id", F.col("text")).collect()]
     assert sorted(map(tuple, got)) == brute(rows)
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark, letters):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(letters))
+    swapped = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, swapped), (3, word), (4, " ".join(word[i : i + 64] for i in range(0, letters, 64))), (5, " ".join(swapped[i : i + 64] for i in range(0, letters, 64)))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted((r[0], r[2], r[3]) for r in brute(rows))
+
+
+def test_ids_must_be_integers_and_may_repeat_with_other_texts(spark):
+    with pytest.raises(TypeError):
+        near_dedup.near_duplicates(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, base), (1, "another text"), (2, base + " more"), (3, "another text")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 46, 1), (2, 47, 1), (3, 1, 1)]
+
+
+def test_hashes_of_a_word_do_not_depend_on_what_stands_around_it():
+    from tessella.llm.words import WordHasher
+
+    rng, h = random.Random(3), WordHasher()
+    words = ["".join(rng.choice("abcé\x00") for _ in range(n)) for n in range(1, 80)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    for family in (0, 1):
+        whole = h.hashes(raw, *h.spans(raw, np.zeros(1, np.int64)), family)
+        alone = [h.hashes(x := np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(x)]), family)[0] for w in words]
+        assert whole.tolist() == [int(x) for x in alone] and len(set(whole.tolist())) == len(words)
