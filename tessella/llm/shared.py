@@ -67,6 +67,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], names: tuple[str, ...]) -> dict[str, str]:
+    """The names with one underscore before them, or as many as keep them apart from all columns."""
+    held, lead = {c.lower() for c in columns}, "_"
+    while held & {(lead + n).lower() for n in names}:
+        lead += "_"
+    return {n: lead + n for n in names}
+
+
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local table of the plan, without a job or a Python worker to make it."""
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) or [[]] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, KINDS[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields]))
+
+
 def integer(df: DataFrame, column: str) -> None:
     """Ids that are to be ordered as numbers must be numbers: a cast would turn others into nulls."""
     kind = dict(df.dtypes)[column]

@@ -28,10 +28,49 @@ def test_flow_is_cheapest_for_overlapping_sources():
     assert cost(used) == best
 
 
+def test_flow_equals_brute_force_on_small_graphs():
+    import itertools
+    import random
+
+    rng, names = random.Random(2), "abc"
+    kinds = [p for n in (1, 2, 3) for p in itertools.combinations(names, n)]
+    for _ in range(60):
+        patterns = {p: rng.randint(0, 3) for p in rng.sample(kinds, 2)}
+        quotas = {s: rng.randint(0, 5) for s in names}
+        flow = mixing.min_cost_flow(patterns, quotas)
+        assert all(sum(v for (_, s), v in flow.items() if s == x) <= quotas[x] for x in names)
+        cost = lambda f: sum(max(0, u - patterns[p]) + max(0, u - 2 * patterns[p]) for p, u in f.items())
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for amounts in itertools.product(*[range(min(3 * patterns[p], quotas[s]) + 1) for p, s in arcs]):
+            used, into = dict.fromkeys(patterns, 0), dict.fromkeys(names, 0)
+            for (p, s), x in zip(arcs, amounts):
+                used[p], into[s] = used[p] + x, into[s] + x
+            if all(used[p] <= 3 * patterns[p] for p in patterns) and all(into[s] <= quotas[s] for s in names):
+                best = min(best or (0, 0), (-sum(amounts), cost(used)))
+        used = {p: sum(v for (q, _), v in flow.items() if q == p) for p in patterns}
+        assert (-sum(flow.values()), cost(used)) == (best or (0, 0))
+
+
+def test_flow_of_many_patterns_is_quick():
+    import random
+    import time
+
+    rng = random.Random(3)
+    patterns = {tuple(sorted(rng.sample(range(200), rng.randint(1, 4)))): rng.randint(1, 1000) for _ in range(20_000)}
+    quotas = {s: rng.randint(100_000, 400_000) for s in range(200)}
+    began = time.time()
+    assert sum(mixing.min_cost_flow(patterns, quotas).values()) <= sum(quotas.values())
+    assert time.time() - began < 60
+
+
 def test_taken_meets_targets_with_nulls_ties_and_repeats(spark):
     data = [(i, "w " * (i % 9), ["x", "y", None][i % 3], "", "") for i in range(300)] + [(None, "a b", "x", "", ""), (7, None, "y", "", ""), (5, "q " * 4000, "z", "", "")]
     data += [data[0], data[10], data[10]]
+    own = mixing.mix(spark.createDataFrame([(*r[:3], "mine", "too") for r in data], SCHEMA))
+    assert {r["_size"] for r in own.collect()} == {"mine"} and own.columns[-4:] == ["__size", "__source_size", "__target", "__taken"]
     got = mixing.mix(spark.createDataFrame(data, SCHEMA).drop("_size")).collect()
+    assert sorted(r["__taken"] for r in own.collect()) == sorted(r["_taken"] for r in got)
     assert len(got) == len(data)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(spark.createDataFrame(data, SCHEMA).drop("_size").repartition(5)).collect()))
     by = {}
