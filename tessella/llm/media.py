@@ -7,6 +7,12 @@ on 0x47, checks the CRC of both tables, follows the continuity counters of each
 reassembles PES packets and reports access units with time stamps and random-access flags.
 
 A unit that lost packets is reported as damaged, not dropped.
+
+Defined cases: null and empty texts give one padded block; a text of any length is one stream, of as
+many access units as it takes; equal texts give equal streams; ids may be null or repeat; an empty
+table gives no rows. Null or unreadable media give no access units. Only the named columns are read
+(`store_texts`, `digests`), or the others pass through whatever their names (`access_units`, which
+puts more underscores before its own where they clash).
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import small_batches
+from tessella.llm.shared import arrow, small_batches, unused
 from tessella.llm.words import texts_of
 
 PACKET, SYNC = 188, 0x47
@@ -57,9 +63,14 @@ def section(table_id: int, ext: int, body: bytes) -> bytes:
     return head + body + struct.pack(">I", crc_mpeg(head + body))
 
 
-def table_packet(pid: int, data: bytes) -> bytes:
-    head = struct.pack(">BHB", SYNC, 0x4000 | pid, 0x10)
-    return (head + b"\x00" + data).ljust(PACKET, b"\xff")
+def section_packets(pid: int, data: bytes, counter: int) -> tuple[bytes, int]:
+    """Packets of one section, over as many as it takes, and the next continuity counter."""
+    out, body = [], b"\x00" + data
+    for at in range(0, len(body), PACKET - 4):
+        head = struct.pack(">BHB", SYNC, (0 if at else 0x4000) | pid, 0x10 | counter & 15)
+        out.append((head + body[at : at + PACKET - 4]).ljust(PACKET, b"\xff"))
+        counter += 1
+    return b"".join(out), counter
 
 
 def pts_bytes(pts: int) -> bytes:
@@ -71,16 +82,20 @@ def pts_value(b: bytes) -> int:
 
 
 class Muxer:
+    """Streams whose tables stand before each random-access point, so that a reader may join there."""
+
     def __init__(self, unit: int = UNIT, rap_every: int = RAP_EVERY) -> None:
         self.unit, self.rap_every = min(unit, 65_000), rap_every
         pat = section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))
         pmt = section(2, PROGRAM, struct.pack(">HHBHH", 0xE000 | DATA_PID, 0xF000, PRIVATE_DATA, 0xE000 | DATA_PID, 0xF000))
-        self.tables = table_packet(PAT_PID, pat) + table_packet(PMT_PID, pmt)
+        self.tables = [b"".join(section_packets(pid, data, i)[0] for pid, data in ((PAT_PID, pat), (PMT_PID, pmt))) for i in range(16)]
 
     def __call__(self, payload: bytes) -> bytes:
         """One stream for one payload; an empty payload gives the tables alone."""
-        out, counter = [self.tables], 0
+        out, counter = [] if payload else [self.tables[0]], 0
         for k, at in enumerate(range(0, len(payload), self.unit)):
+            if k % self.rap_every == 0:
+                out.append(self.tables[k // self.rap_every & 15])
             part = payload[at : at + self.unit]
             pts = k * TICKS & (1 << 33) - 1
             pes = b"\x00\x00\x01" + struct.pack(">BHBBB", PRIVATE_STREAM, len(part) + 8, 0x80, 0x80, 5) + pts_bytes(pts) + part
@@ -155,15 +170,44 @@ def aligned(stream: bytes) -> tuple[np.ndarray, int]:
     return np.array([np.frombuffer(stream, np.uint8, PACKET, at) for at in rows], np.uint8).reshape(len(rows), PACKET), lost
 
 
-def parse_section(data: bytes, table: list) -> tuple[int, bytes] | None:
-    """(table id, body) of a sound section."""
-    if len(data) < 9:
-        return None
-    size = (data[1] & 0x0F) << 8 | data[2]
-    whole = data[: 3 + size]
-    if size < 9 or len(whole) < 3 + size or crc_mpeg(whole, table):
-        return None
-    return data[0], whole[8:-4]
+def sections(rows: np.ndarray, start: np.ndarray, table: list) -> Iterator[tuple[int, bytes] | None]:
+    """(table id, body) of the sections of one packet id, None for a broken or cut one.
+
+    A section may begin anywhere behind the pointer of a packet and go on over following ones, as long
+    as their counters do; a repeated packet counts once.
+    """
+    held, last, before = None, -1, b""  # held: bytes of the section at hand; None: wait for a start
+
+    def whole() -> Iterator[tuple[int, bytes] | None]:
+        nonlocal held
+        while held and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2]) if len(held) >= 3 else 0
+            if not size or len(held) < size:
+                return
+            yield (held[0], held[8 : size - 4]) if size >= 12 and not crc_mpeg(held[:size], table) else None
+            held = held[size:]
+        held = None
+
+    for row, at in zip(rows, start):
+        body, counter, begins = row[at:].tobytes(), int(row[3]) & 15, bool(row[1] & 0x40)
+        if not body or counter == last and body == before:
+            continue
+        if held and last >= 0 and counter != last + 1 & 15:
+            yield None
+            held = None
+        last, before = counter, body
+        if begins:
+            if held:
+                held += body[1 : 1 + body[0]]
+                yield from whole()
+                if held:
+                    yield None
+            held = body[1 + body[0] :]
+        elif held:
+            held += body
+        yield from whole()
+    if held:
+        yield None
 
 
 def demux(stream: bytes, table: list | None = None) -> Stream:
@@ -177,23 +221,22 @@ def demux(stream: bytes, table: list | None = None) -> Stream:
     start = np.where(rows[:, 3] & 0x20, 5 + rows[:, 4].astype(np.int64), 4)
     start[(rows[:, 3] & 0x10) == 0] = PACKET
     start = np.minimum(start, PACKET)
-    maps: set = set()
-    for wanted, ids in ((0, {PAT_PID}), (2, maps)):
-        for i in np.flatnonzero(np.isin(pid, [*ids]) & (rows[:, 1] & 0x40 > 0)):
-            body = rows[i, start[i] :].tobytes()
-            got = parse_section(body[1 + body[0] :], table) if body else None
-            if got is None or got[0] != wanted:
+    for got in sections(rows[pid == PAT_PID], start[pid == PAT_PID], table):
+        if got is None or got[0] != 0:
+            out.bad_tables += 1
+            continue
+        for program, p in struct.iter_unpack(">HH", got[1][: len(got[1]) // 4 * 4]):
+            if program:
+                out.programs[program] = p & 0x1FFF
+    for p in sorted(set(out.programs.values())):
+        for got in sections(rows[pid == p], start[pid == p], table):
+            if got is None or got[0] != 2 or len(got[1]) < 4:
                 out.bad_tables += 1
-            elif wanted == 0:
-                for program, p in struct.iter_unpack(">HH", got[1][: len(got[1]) // 4 * 4]):
-                    if program:
-                        out.programs[program] = p & 0x1FFF
-                        maps.add(p & 0x1FFF)
-            else:
-                b, at = got[1], 4 + ((got[1][2] & 0x0F) << 8 | got[1][3])
-                while at + 5 <= len(b):
-                    out.streams[(b[at + 1] & 0x1F) << 8 | b[at + 2]] = b[at]
-                    at += 5 + ((b[at + 3] & 0x0F) << 8 | b[at + 4])
+                continue
+            b, at = got[1], 4 + ((got[1][2] & 0x0F) << 8 | got[1][3])
+            while at + 5 <= len(b):
+                out.streams[(b[at + 1] & 0x1F) << 8 | b[at + 2]] = b[at]
+                at += 5 + ((b[at + 3] & 0x0F) << 8 | b[at + 4])
     for p, kind in out.streams.items():
         own = np.flatnonzero((pid == p) & (start < PACKET))
         if len(own):
@@ -230,12 +273,11 @@ def elementary(rows: np.ndarray, start: np.ndarray, pid: int, kind: int, out: St
 
 
 def describe(s: Stream) -> str:
-    """The stream's features in one line."""
+    """The stream's features in one line: all its access points by time stamp."""
     times = [u.pts for u in s.units if u.pts is not None]
     raps = [str(u.pts) for u in s.units if u.random_access]
     span = max(times) - min(times) if times else 0
-    points = ",".join(raps[:4]) + (",..." if len(raps) > 4 else "")
-    return f"programs={len(s.programs)};streams={len(s.streams)};packets={s.packets};units={len(s.units)};gaps={s.gaps};damaged={sum(u.damaged for u in s.units)};span={span};access={len(raps)}:{points}"
+    return f"programs={len(s.programs)};streams={len(s.streams)};packets={s.packets};units={len(s.units)};gaps={s.gaps};damaged={sum(u.damaged for u in s.units)};span={span};access={len(raps)}:{','.join(raps)}"
 
 
 def pad(text: bytes) -> bytes:
@@ -260,17 +302,18 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off[lo : hi + 1]), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(over, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), over, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def access_units(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row for each access unit: the other columns, and pid, stream_type, unit, pts, random_access, damaged, data.
+    """One row for each access unit: the other columns, and _pid, _stream_type, _unit, _pts, _random_access, _damaged, _data.
 
     Rows with null or unreadable media give no units.
     """
     others = [c for c in media.columns if c != media_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields if f.name != media_col)
-    names = ["_pid", "_stream_type", "_unit", "_pts", "_random_access", "_damaged", "_data"]
+    kinds = {"pid": "int", "stream_type": "int", "unit": "int", "pts": "long", "random_access": "boolean", "damaged": "boolean", "data": "binary"}
+    names = [*unused(others, tuple(kinds)).values()]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = crc_table().tolist()
@@ -283,7 +326,7 @@ def access_units(media: DataFrame, media_col: str = "media") -> DataFrame:
                     own = [pa.array([u.pid for u in units], pa.int32()), pa.array([u.stream_type for u in units], pa.int32()), pa.array(range(len(units)), pa.int32()), pa.array([u.pts for u in units], pa.int64()), pa.array([u.random_access for u in units]), pa.array([u.damaged for u in units]), pa.array([u.data for u in units], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*rest.columns, *own], names=[*others, *names])
 
-    return media.mapInArrow(over, (fields + ", " if fields else "") + "_pid int, _stream_type int, _unit int, _pts long, _random_access boolean, _damaged boolean, _data binary")
+    return arrow(media, over, (fields + ", " if fields else "") + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds.values())))
 
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -304,5 +347,5 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = dict(media.dtypes)[id_col]
-    out = media.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(over, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = arrow(media.select(F.col(id_col).alias("id"), "n_bytes", "media"), over, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)

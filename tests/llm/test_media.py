@@ -34,6 +34,37 @@ def test_faults_are_found():
     assert media.demux(b"").units == [] and media.demux(b"junk" * 100).units == []
 
 
+def test_streams_can_be_joined_at_every_access_point():
+    body = random.Random(4).randbytes(media.UNIT * 21)
+    stream = media.Muxer()(body)
+    whole = media.demux(stream)
+    assert whole.bad_tables == whole.gaps == 0 and sum(u.random_access for u in whole.units) == 3
+    for k in (8, 16):
+        starts = [i for i in range(0, len(stream), media.PACKET) if stream[i : i + 3] == b"\x47\x40\x00"]
+        late = media.demux(stream[starts[k // 8] :])
+        assert late.units[0].random_access and b"".join(u.data for u in late.units) == body[k * media.UNIT :]
+
+
+def test_tables_over_several_packets():
+    table = media.crc_table().tolist()
+    many = 60  # streams: their map takes 315 bytes
+    pmt = media.section(2, 1, media.struct.pack(">HH", 0xE101, 0xF000) + b"".join(media.struct.pack(">BHH", 6, 0xE000 | 0x200 + i, 0xF000) for i in range(many)))
+    pat = media.section(0, 1, media.struct.pack(">HH", 1, 0xE100))
+    first, n = media.section_packets(0x100, pmt, 14)
+    again, _ = media.section_packets(0x100, pmt, n)
+    head = media.section_packets(0, pat, 3)[0]
+    assert n > 15 and media.demux(head + first + again).streams == {0x200 + i: 6 for i in range(many)}
+    s = media.demux(head + first + again, table)
+    assert (s.bad_tables, s.programs) == (0, {1: 0x100})
+    cut = media.demux(head + first[: media.PACKET] + again)  # its second packet is lost
+    assert cut.bad_tables == 1 and len(cut.streams) == many
+
+
+def test_feature_lists_all_access_points():
+    s = media.demux(media.Muxer(unit=576, rap_every=1)(b"x" * 576 * 9))
+    assert media.describe(s).endswith("access=9:" + ",".join(str(k * media.TICKS) for k in range(9)))
+
+
 def test_pts_round_trip():
     for x in (0, 1, 2**15, 2**30 + 5, 2**33 - 1):
         assert media.pts_value(media.pts_bytes(x)) == x
@@ -52,6 +83,8 @@ def test_digests_of_odd_texts(spark):
     units = media.access_units(media.store_texts(docs)).where("doc_id = 3").orderBy("_unit").collect()
     assert b"".join(u["_data"] for u in units).rstrip(b"\xff") == b"x" * 300_000
     assert media.digests(media.store_texts(docs.limit(0))).collect() == []
+    clash = media.access_units(media.store_texts(docs).withColumn("_pts", media.F.lit("own")))
+    assert {"_pts", "__pts", "__data"} <= set(clash.columns) and clash.first()["_pts"] == "own"
 
 
 def test_query_covers_every_document(spark, sf):
