@@ -1,20 +1,25 @@
 """Deterministic sharded WARC archives: written, committed by manifest, and read back.
 
-Writing: records are placed by ranges of their id (shards of about equal size, from sums over a fixed
-number of id bins), sorted, and written one gzip member each; a file is rolled when its compressed
-size passes a limit. All headers, record ids, lengths and digests are made anew from the content, so
-the same rows give the same bytes. A task writes under a temporary name of its own and renames at
-the end; the list of finished files is then written as a manifest table, and readers open only what
-the manifest names: files of lost or repeated attempts are never seen.
+Writing: records are ordered by id, and a shard begins wherever the running sum of payload bytes
+passes a multiple of the shard size; the sums are taken by ranges, so no task holds them all, and the
+bounds depend on nothing but the data. Each shard is one task: it sorts its records, writes one gzip
+member each, and rolls a file when its compressed size passes a limit. All headers, record ids,
+lengths and digests are made anew from the content, so the same rows give the same bytes. A task
+writes under a temporary name of its own and renames at the end, over what a lost attempt may have
+left there (its bytes are the same); the list of finished files is then written as a manifest table,
+and readers open only what the manifest names.
 
 Equal payloads of at least `least` bytes are stored once, by the record with the largest id; the
 others are revisit records that name it. Sums of groups are taken before the shuffle, and a group of
 any number of equal payloads is only ever a maximum.
 
-Defined cases: null payloads are empty; rows with a null id are left out (an archive record needs an
-identity); repeated rows give repeated records (which revisit nothing of their own id: a payload
-whose largest id repeats is stored by each such row). Empty tables give an empty archive. Urls may
-be null; control characters in them are percent-encoded. Only the named columns are read.
+Defined cases: null payloads are empty; ids are integers; rows with a null id are records named by
+their content, dealt out by its digest, and come back with a null id (they revisit a record with an
+id, and are responses where there is none). Repeated rows give repeated records (which revisit
+nothing of their own id: a payload whose largest id repeats is stored by each such row); all rows of
+one id are in one shard. A record is held in memory whole, one at a time beside its batch. Empty
+tables give an empty archive. Urls may be null; control characters in them are percent-encoded. Only
+the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -27,17 +32,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import scratch, small_batches
+from tessella.llm.shared import arrow, cut, integer, literal_table, scratch, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space for URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BINS = 4096
 SHARD_BYTES = 64 << 20  # payload bytes of a shard, about
 FILE_BYTES = 16 << 20  # compressed bytes at which a file is rolled
 STATUS = b"HTTP/1.1 200 OK\r\n"
@@ -47,8 +52,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int, n: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'record:{page}:{n}')}>"
+def record_id(page: int | None, same: str, n: int = 0) -> str:
+    """Of the n-th record of an id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'record:{page}:{same}:{n}')}>"
 
 
 def clean(url: str | None) -> str:
@@ -63,14 +69,15 @@ def http_head(size: int, kind: str) -> bytes:
     return STATUS + headers([("Content-Type", kind), ("Content-Length", str(size))])
 
 
-def record(page: int, url: str | None, payload: bytes, refers: int | None, n: int = 0) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, refers: int | None, n: int = 0) -> bytes:
     """One record; a revisit holds the HTTP head alone, which tells its payload's length."""
-    head = http_head(len(payload), "text/html; charset=utf-8")
+    head, same = http_head(len(payload), "text/html; charset=utf-8"), digest(payload)
     block = head if refers is not None else head + payload
-    pairs = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, n)), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
+    pairs = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, same, n)), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{same}"), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
     if refers is not None:
-        pairs += [("WARC-Refers-To", record_id(refers)), ("WARC-Refers-To-Page", str(refers)), ("WARC-Profile", PROFILE)]
-    pairs += [("WARC-Page", str(page)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+        pairs += [("WARC-Refers-To", record_id(refers, same)), ("WARC-Refers-To-Page", str(refers)), ("WARC-Profile", PROFILE)]
+    pairs += [("WARC-Page", str(page))] * (page is not None)
+    pairs += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + headers(pairs) + block + b"\r\n\r\n"
 
 
@@ -94,65 +101,69 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, le
     """Rows (id, kind, url, payload, same, refers): records (kind 1), and before them what they revisit.
 
     A row of kind 0 tells that records of this id and payload digest are kept by another id. Both
-    kinds go through the one range shuffle, so payloads are moved once and never joined.
+    kinds go through the one shuffle, so payloads are moved once and never joined.
     """
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256))
     slim = rows.where(F.octet_length("payload") >= least).select("id", "same")
-    keepers = slim.groupBy("same").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = slim.join(keepers, "same").where("id <> keeper").select("id", "same", "keeper").distinct()
+    keepers = slim.groupBy("same").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
+    refers = slim.join(keepers, "same").where("not (id <=> keeper)").select("id", "same", "keeper").distinct()
     told = refers.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "same", F.col("keeper").alias("refers"))
     return told.union(rows.select("id", F.lit(1).alias("kind"), "url", "payload", "same", F.lit(None).cast("long").alias("refers")))
 
 
-def shards(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
-    """(first id, shard) in order: ranges of ids with about shard_bytes of payload, from BINS sums."""
-    ends = rows.agg(F.min("id"), F.max("id")).first()
-    if ends[0] is None:
-        return []
-    lo, width = ends[0], -(-(ends[1] - ends[0] + 1) // BINS)
-    sums = rows.groupBy(F.floor((F.col("id") - lo) / width).cast("long").alias("bin")).agg(F.sum(F.octet_length("payload") + 512).alias("bytes")).orderBy("bin").collect()  # BINS rows at most
-    out, filled = [(lo, 0)], 0
-    for r in sums:
-        if filled >= shard_bytes:
-            out.append((lo + int(r["bin"]) * width, len(out)))
-            filled = 0
-        filled += r["bytes"]
-    return out
+def bounds(rows: DataFrame, shard_bytes: int) -> tuple[list[int], int]:
+    """First ids of the shards behind the first, and shards for rows without an id. rows: id, bytes."""
+    sums = rows.groupBy("id").agg(F.sum("bytes").alias("bytes"))
+    sums = cut(sums.repartitionByRange("id").withColumn("range", F.spark_partition_id()), "sizes")
+    lost = sums.where("id is null").agg(F.sum("bytes")).first()[0] or 0
+    known = sums.where("id is not null")
+    totals = known.groupBy("range").agg(F.min("id").alias("id"), F.sum("bytes").alias("bytes")).orderBy("id").collect()  # one row a range
+    before, offsets = 0, []
+    for r in totals:
+        offsets.append((r["range"], before))
+        before += r["bytes"]
+    own = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("bytes").over(own), F.lit(0)) + F.col("offset")
+    placed = known.join(F.broadcast(literal_table(rows.sparkSession, offsets, "range int, offset long")), "range").withColumn("shard", F.floor(at / shard_bytes))
+    firsts = placed.groupBy("shard").agg(F.min("id").alias("id")).orderBy("id").collect()  # one row a shard
+    return [r["id"] for r in firsts[1:]], -(-lost // shard_bytes)
+
+
+def count_upto(limits: list[int], x: Column) -> Column:
+    """How many of the ascending limits are at most x: a binary search in one literal."""
+    if not limits:
+        return F.lit(0)
+    held, n = F.lit(np.array(limits, np.int64)), len(limits)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(held, F.least(at + step, F.lit(n))) <= x), at + step).otherwise(at))
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archive under `path` and returns its manifest (file, shard, part, records, bytes, sha256)."""
-    small_batches(pages.sparkSession)
+    integer(pages, id_col)
     spark = pages.sparkSession
-    source = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    starts = shards(source, shard_bytes)
-    bounds = [s for s, _ in starts[1:]]
+    small_batches(spark)
+    size = F.coalesce(F.octet_length(F.col(payload_col).cast("binary")), F.lit(0)).cast("long") + 512
+    limits, lost = bounds(pages.select(F.col(id_col).cast("long").alias("id"), size.alias("bytes")), shard_bytes)
+    known = len(limits) + 1
     rows = with_roles(pages, id_col, url_col, payload_col, least)
-
-    # The shard of an id by binary search over the literal bounds: no join, no sampling.
-    def shard_of(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") < bounds[mid], shard_of(lo, mid)).otherwise(shard_of(mid + 1, hi))
-
-    rows = rows.withColumn("shard", shard_of(0, len(bounds)).cast("int"))
-    n = max(1, len(starts))
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "id", "kind", "url", "same")
+    shard = F.when(F.col("id").isNull(), known + F.pmod(F.xxhash64("same"), F.lit(max(1, lost)))).otherwise(count_upto(limits, F.col("id")))
+    rows = rows.withColumn("shard", shard.cast("int")).repartitionById(known + lost, "shard").sortWithinPartitions("shard", "id", "same", "kind", "url")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = place(path)
         attempt, done = uuid.uuid4().hex, []
         system.create_dir(f"{root}/files", recursive=True)
-        shard, part, sink, size, count, sha, temp, last, repeat = None, 0, None, 0, 0, None, "", None, 0
-        kept_by: dict[str, int] = {}  # of the id at hand
+        shard, part, sink, size, count, sha, temp, last, repeat, kept_by = None, 0, None, 0, 0, None, "", None, 0, None
 
         def close() -> None:
             nonlocal sink
             if sink is not None:
                 sink.close()
                 name = f"files/shard-{shard:05d}-{part:05d}.warc.gz"
+                if system.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+                    system.delete_file(f"{root}/{name}")
                 system.move(temp, f"{root}/{name}")
                 done.append((name, shard, part, count, size, sha.hexdigest()))
                 sink = None
@@ -167,12 +178,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             for i in range(batch.num_rows):
                 page, kind, url, payload, same, refers, own = (batch.column(c)[i].as_py() for c in range(7))
-                if page != last:
-                    kept_by, repeat, last = {}, -1, page
+                if (page, same) != last:
+                    kept_by, repeat, last = None, -1, (page, same)
                 if kind == 0:
-                    kept_by[same] = refers
+                    kept_by = refers
                     continue
-                refers, repeat = kept_by.get(same), repeat + 1
+                repeat += 1
                 if own != shard or size >= file_bytes:
                     close()
                     part = part + 1 if own == shard else 0
@@ -180,7 +191,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     temp = f"{root}/files/.tmp-{attempt}-{shard:05d}-{part:05d}"
                     sink = system.open_output_stream(temp)
                     put(info(shard, part))
-                put(record(page, url, payload, refers, repeat))
+                put(record(page, url, payload, kept_by, repeat))
                 count += 1
         close()
         if done:
@@ -188,7 +199,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["file", "shard", "part", "records", "bytes", "sha256"])
 
     schema = "file string, shard int, part int, records long, bytes long, sha256 string"
-    rows.select("id", "kind", "url", "payload", "same", "refers", "shard").mapInArrow(over, schema).write.mode("overwrite").parquet(f"{path}/manifest")
+    arrow(rows.select("id", "kind", "url", "payload", "same", "refers", "shard"), over, schema).write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
 
 
@@ -235,7 +246,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     names = spark.read.parquet(f"{path}/manifest").select("file", "records")
     n = max(1, names.count())
     # One file a task at most; a file is bounded by its roll size.
-    files = names.repartitionByRange(min(n, 4096), "file") if n > 1 else names
+    files = names.repartitionByRange(n, "file") if n > 1 else names
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = place(path)
@@ -251,8 +262,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         revisit, found = h["warc-type"] == "revisit", h["warc-payload-digest"].removeprefix("sha1:")
                         if h["warc-block-digest"] != f"sha1:{digest(block)}" or not revisit and (found != digest(payload) or length != len(payload)):
                             raise ValueError(f"{file}: a digest or length does not match")
-                        refers = h.get("warc-refers-to-page")
-                        rows.append((int(h["warc-page"]), h["warc-target-uri"], h["warc-type"], length, found, int(refers) if refers else None, None if revisit else payload))
+                        page, refers = h.get("warc-page"), h.get("warc-refers-to-page")
+                        rows.append((int(page) if page else None, h["warc-target-uri"], h["warc-type"], length, found, int(refers) if refers else None, None if revisit else payload))
                         seen += 1
                         if len(rows) == 64:
                             yield emit(rows)
@@ -266,7 +277,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    return files.mapInArrow(over, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return arrow(files, over, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:

@@ -17,10 +17,9 @@ def want(rows, least=0):
             best[h or ""] = max(best.get(h or "", i), i)
     out = []
     for i, _, h, *_ in rows:
-        if i is not None:
-            body = (h or "").encode()
-            again = len(body) >= least and best[h or ""] != i
-            out.append((i, len(body), warc.digest(body), "revisit" if again else "response", best[h or ""] if again else None))
+        body = (h or "").encode()
+        again = len(body) >= least and best.get(h or "", i) != i
+        out.append((i, len(body), warc.digest(body), "revisit" if again else "response", best[h or ""] if again else None))
     return sorted(out, key=str)
 
 
@@ -31,7 +30,7 @@ def got(df):
 @pytest.mark.parametrize("least", [0, 3])
 def test_round_trip_of_odd_rows(spark, tmp_path, least):
     rows = [(i * 13 % 101 - 20, f"http://x/{i}\r\né", ["<p>é</p>", None, "", "a", "WARC/1.1\r\n\r\n" * 3, f"u{i}", "z" * 200_000][i % 7], "", "") for i in range(101)]
-    rows += [(None, None, "a", "", ""), (500, None, "a", "", ""), (500, None, "a", "", ""), (1 << 60, "u", "far", "", "")]
+    rows += [(None, None, "a", "", ""), (None, "n", "no id", "", ""), (None, "n", "no id", "", ""), (None, "m", "no id", "", ""), (500, "v", "other of 500", "", ""), (500, None, "y" * 3_000_000, "", ""), (500, None, "a", "", ""), (500, None, "a", "", ""), (1 << 60, "u", "far", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     warc.write(df, f"file://{tmp_path}/a", least=least, shard_bytes=100_000, file_bytes=500)
     out = warc.read(spark, f"file://{tmp_path}/a")
@@ -40,6 +39,30 @@ def test_round_trip_of_odd_rows(spark, tmp_path, least):
     assert texts <= {(r[0], r[2] or "") for r in rows}
 
 
+def test_shards_follow_bytes_whatever_the_ids(spark, tmp_path):
+    rng = __import__("random").Random(5)
+    ids = [*range(200), 1 << 62, -(1 << 62)]
+    rows = [(i, None, "".join(rng.choice("abc") for _ in range(1000)), "", "") for i in ids] + [(None, None, f"{k} " * 400, "", "") for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    m = warc.write(df, f"file://{tmp_path}/a", shard_bytes=20_000).collect()
+    assert got(warc.read(spark, f"file://{tmp_path}/a")) == want(rows)
+    assert len({r["shard"] for r in m}) >= 16 and max(r["records"] for r in m) <= 30
+    limits, lost = warc.bounds(df.select("page_id", "html").selectExpr("page_id AS id", "octet_length(html) AS bytes"), 20_000)
+    assert limits == sorted(set(limits)) and lost >= 3
+    got_ = spark.range(-5, 250).select("id", warc.count_upto(limits, warc.F.col("id")).alias("n")).collect()
+    assert all(r["n"] == sum(x <= r["id"] for x in limits) for r in got_)
+
+
+def test_what_a_lost_attempt_left_is_written_over(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "text", "", "")], SCHEMA)
+    warc.write(df, f"file://{tmp_path}/a")
+    (file,) = glob.glob(f"{tmp_path}/a/files/*.gz")
+    before = open(file, "rb").read()
+    open(file, "wb").write(b"half a file")
+    warc.write(df, f"file://{tmp_path}/a")
+    assert open(file, "rb").read() == before and got(warc.read(spark, f"file://{tmp_path}/a")) == want([(1, "u", "text")])
+
+
 def test_files_are_the_same_every_time_and_leave_no_debris(spark, tmp_path):
     rows = [(i, f"http://x/{i}", "t" * (i % 50) * 30, "", "") for i in range(300)]
     for k, df in (("a", spark.createDataFrame(rows, SCHEMA)), ("b", spark.createDataFrame(rows[::-1], SCHEMA).repartition(7))):
