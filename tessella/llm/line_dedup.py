@@ -26,6 +26,7 @@ no rows. Other columns pass through; none of their names matter, but names that
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import cut, stream_groups
+from tessella.llm.shared import arrow, cut, integer, stream_groups, unused
 from tessella.llm.words import mix
 
 THRESHOLD = 2
 MIN_BYTES = 32
-EXACT_BYTES = 1  # shortest lines that the query and the pipeline remove where they are equal
+EXACT_BYTES = 1  # shortest lines that go where they equal another
 BLOCK = 2048  # lines of a group that are compared at once
 RANGE_KEYS = 1 << 20  # keys of a hash range, about
+PACK_KEYS, SEEN = 1 << 20, 200_000  # keys of a pack, about; lines that are known not to be packed twice by a task
 LOWEST = -(1 << 63)
 
 
@@ -154,7 +156,7 @@ def line_rows(docs: DataFrame, least: int, exact: int) -> DataFrame:
                     at = pa.array(who)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(no, pa.int32())], names=["id", "dk", "h1", "h2", "no"])
 
-    return docs.mapInArrow(over, "id long, dk long, h1 long, h2 long, no int")
+    return arrow(docs, over, "id long, dk long, h1 long, h2 long, no int")
 
 
 def packed_keys(docs: DataFrame, threshold: int, least: int, ranges: int) -> DataFrame:
@@ -162,10 +164,10 @@ def packed_keys(docs: DataFrame, threshold: int, least: int, ranges: int) -> Dat
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, plan = xxhash.xxh3_64_intdigest, {}
-        keys, lines, seen = [], [], set()
+        keys, lines, seen = array("Q"), array("q"), set()
 
         def flush() -> pa.RecordBatch:
-            k, x = np.array(keys, np.uint64), np.array(lines, np.int64)
+            k, x = np.frombuffer(keys, np.uint64), np.frombuffer(lines, np.int64)
             which = ((k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(which, kind="stable")
             names, first = np.unique(which[order], return_index=True)
@@ -183,15 +185,15 @@ def packed_keys(docs: DataFrame, threshold: int, least: int, ranges: int) -> Dat
                     spots = plan.get(n)
                     if spots is None:
                         spots = plan[n] = places(n, threshold, least)
-                    keys += [digest(line[a:b], seed) for seed, a, b in spots]
-                    lines += [own] * len(spots)
-                if len(keys) > 1_000_000:
+                    keys.extend([digest(line[a:b], seed) for seed, a, b in spots])
+                    lines.extend([own] * len(spots))
+                if len(keys) > PACK_KEYS:
                     yield flush()
-                    keys, lines, seen = [], [], set() if len(seen) > 500_000 else seen
+                    keys, lines, seen = array("Q"), array("q"), set() if len(seen) > SEEN else seen
         if keys:
             yield flush()
 
-    return docs.mapInArrow(over, "range int, keys binary, lines binary")
+    return arrow(docs, over, "range int, keys binary, lines binary")
 
 
 def groups(packs: DataFrame, ranges: int) -> DataFrame:
@@ -226,7 +228,7 @@ def groups(packs: DataFrame, ranges: int) -> DataFrame:
         if parts:
             yield from meet(parts)
 
-    return packs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(over, "gid long, size long, line long").dropDuplicates(["gid", "line"])
+    return arrow(packs.repartition(ranges, "range").sortWithinPartitions("range"), over, "gid long, size long, line long").dropDuplicates(["gid", "line"])
 
 
 def links(members: DataFrame, threshold: int) -> DataFrame:
@@ -281,7 +283,7 @@ def links(members: DataFrame, threshold: int) -> DataFrame:
             yield emit(found)
 
     group = ["gid", "i", "j"]
-    return members.select(*group, "line", "text", "side").repartition(*group).sortWithinPartitions(*group).mapInArrow(over, "a long, b long").distinct()
+    return arrow(members.select(*group, "line", "text", "side").repartition(*group).sortWithinPartitions(*group), over, "a long, b long").distinct()
 
 
 def removals(docs: DataFrame, threshold: int, least: int, exact: int, block: int = 0) -> DataFrame:
@@ -309,7 +311,7 @@ def removals(docs: DataFrame, threshold: int, least: int, exact: int, block: int
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["line", "text"])
 
-    texts = docs.join(wanted, ["id", "dk"]).select("text", "wanted").mapInArrow(lines_of, "line long, text binary").dropDuplicates(["line"])
+    texts = arrow(docs.join(wanted, ["id", "dk"]).select("text", "wanted"), lines_of, "line long, text binary").dropDuplicates(["line"])
     members = met.join(texts, "line").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "line", "text")
@@ -340,14 +342,22 @@ def kept_lines(text: bytes, gone: list[int] | None, least: int, exact: int) -> t
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
+def added(docs: DataFrame) -> dict[str, str]:
+    """What the columns that dedup_lines adds are called."""
+    return unused(docs.columns, ("line_n", "line_removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """docs' columns with the deduplicated text, and _line_n, _line_removed (0 for null texts)."""
-    own, exact = keyed(docs, id_col, text_col), min_bytes if exact_bytes is None else max(1, exact_bytes)
-    gone = removals(own, threshold, min_bytes, exact).withColumnRenamed("id", "_line_id").withColumnRenamed("dk", "_line_dk").withColumnRenamed("gone", "_line_gone")
-    rows = docs.withColumns({"_line_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "_line_dk": F.xxhash64(F.col(text_col))})
-    rows = rows.join(gone, ["_line_id", "_line_dk"], "left").select(*docs.columns, "_line_gone")
+    integer(docs, id_col)
+    own, exact, made = keyed(docs, id_col, text_col), max(1, exact_bytes), added(docs)
+    gone = removals(own, threshold, min_bytes, exact)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(F.col(text_col)).alias("dk"), row)
+    names = [*docs.columns, *made.values()]
+    held = unused(names, ("gone",))["gone"]
+    rows = rows.join(gone, ["id", "dk"], "left").select("row.*", F.col("gone").alias(held))
     at, n = docs.columns.index(text_col), len(docs.columns)
-    names = [*docs.columns, "_line_n", "_line_removed"]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,4 +369,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(over, f"{fields}, _line_n long, _line_removed long")
+    return arrow(rows, over, f"{fields}, `{made['line_n']}` long, `{made['line_removed']}` long")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import KeyFilter, cut
+from tessella.llm.shared import KeyFilter, arrow, cut
 from tessella.llm.words import PIECE, Powers, mix, runs, seeded, texts_of
 
 LEAST, GRAM = 200, 100
@@ -185,7 +185,7 @@ def packed(docs: DataFrame, least: int, gram: int, ranges: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("d", "text").mapInArrow(over, "range int, h binary, c binary, d binary, n binary")
+    return arrow(docs.select("d", "text"), over, "range int, h binary, c binary, d binary, n binary")
 
 
 def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
@@ -226,7 +226,7 @@ def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
         if parts:
             yield from meet(parts)
 
-    return packs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(over, "h long, c long, d long, twice boolean, kinds long, lead boolean")
+    return arrow(packs.repartition(ranges, "range").sortWithinPartitions("range"), over, "h long, c long, d long, twice boolean, kinds long, lead boolean")
 
 
 def pressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def pressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if raw:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["d", "d2", "size", "z"])
 
-    return docs.where("text is not null").select("d", "d2", "text").mapInArrow(over, "d long, d2 int, size long, z binary")
+    return arrow(docs.where("text is not null").select("d", "d2", "text"), over, "d long, d2 int, size long, z binary")
 
 
 def unpressed(size: pa.Array, z: pa.Array) -> pa.Array:
@@ -273,7 +273,7 @@ def contexts(docs: DataFrame, leads: DataFrame, least: int, gram: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["h", "c", "before", "after"])
 
     joined = pressed(docs, leads.select("d").distinct()).join(wanted, "d").select("size", "z", "wanted")
-    return joined.mapInArrow(over, "h long, c long, before binary, after binary")
+    return arrow(joined, over, "h long, c long, before binary, after binary")
 
 
 def covered(found: DataFrame, least: int) -> DataFrame:
@@ -313,7 +313,7 @@ def covered(found: DataFrame, least: int) -> DataFrame:
         if out:
             yield emit()
 
-    return found.select("h", "c", "before", "after").repartition("h").sortWithinPartitions("h", "c").mapInArrow(over, "h long, c long, spans array<int>")
+    return arrow(found.select("h", "c", "before", "after").repartition("h").sortWithinPartitions("h", "c"), over, "h long, c long, spans array<int>")
 
 
 def counted(found: DataFrame, least: int) -> DataFrame:
@@ -328,7 +328,7 @@ def counted(found: DataFrame, least: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "c", "left", "w"])
 
-    rows = found.select("h", "c", "before", "after").mapInArrow(over, "h long, c long, left int, w binary")
+    rows = arrow(found.select("h", "c", "before", "after"), over, "h long, c long, left int, w binary")
     twice = rows.groupBy("h", "left", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(twice, ["h", "left", "w"]).groupBy("h", "c").agg(F.flatten(F.collect_list(F.array("left", F.lit(least) - F.col("left")))).cast("array<int>").alias("spans"))
 
@@ -381,7 +381,7 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), *lists], names=["d", "d2", "size", "z", "starts", "ends"]).filter(good)
 
     joined = pressed(docs, dirty).join(mine, "d").select("d", "d2", "size", "z", "marks")
-    return joined.mapInArrow(over, "d long, d2 int, size long, z binary, starts array<long>, ends array<long>")
+    return arrow(joined, over, "d long, d2 int, size long, z binary, starts array<long>, ends array<long>")
 
 
 def without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -413,7 +413,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 gone.append(size.as_py() - len(kept)), n.append(len(starts)), sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["d", "d2", "gone", "spans", "sha"])
 
-    found = marked(own, least).mapInArrow(over, "d long, d2 int, gone long, spans long, sha string").dropDuplicates(["d", "d2"])
+    found = arrow(marked(own, least), over, "d long, d2 int, gone long, spans long, sha string").dropDuplicates(["d", "d2"])
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = own.select("id", "d", "d2", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     return rows.join(found, ["d", "d2"], "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
