@@ -88,7 +88,7 @@ def texts(seed, n=60):
 def test_same_as_brute_force(spark, monkeypatch, threshold, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rows = [(i * 7 % 1009, t, "", "") for i, t in enumerate([*texts(threshold), None, "", "\n\n", "x" * 20000, "x" * 20001, "a\nb\na"])]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), threshold=threshold, min_bytes=8).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), threshold=threshold, min_bytes=8, exact_bytes=8).collect()
     assert {r["doc_id"]: r["text"] for r in got} == brute(rows, threshold, 8) and len(got) == len(rows)
 
 
@@ -105,17 +105,13 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     line = "a line that is long enough to count, at least thirty-two bytes"
     rows = [(None, line, "", ""), (5, line + "!", "", ""), (5, line + "!", "", ""), (5, "other\n" + line, "", ""), (6, f"{line}?\nshort\nshort", "", "")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", line), ("5", ""), ("5", ""), ("5", "other"), ("6", "short\nshort")])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", line), ("5", ""), ("5", ""), ("5", "other"), ("6", "short")])
     own = line_dedup.dedup_lines(spark.createDataFrame(rows[1:3], SCHEMA)).collect()
     assert [r["text"] for r in own] == [line + "!"] * 2
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
-
-
-def test_query(spark, sf):
-    got = {r["doc_id"]: r for r in queries.op7_line_dedup(spark, sf).collect()}
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute(rows, line_dedup.THRESHOLD, line_dedup.MIN_BYTES)
-    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    clash = [(1, line, "a", "b"), (2, line, "c", "d")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(clash, "doc_id long, text string, _line_n string, _Line_Removed string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in out] == [(1, line, "a", "b", 1, 0), (2, "", "c", "d", 1, 1)]
 
 
 def brute_with_short(rows, threshold, least):

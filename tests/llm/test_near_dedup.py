@@ -12,7 +12,7 @@ from tessella.llm.words import seeded
 SCHEMA = "doc_id long, text string, n_shingles string, kept string"
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = []
     for i, text, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -26,7 +26,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     low = {}
     for i, r in enumerate(rows):

@@ -5,7 +5,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from test_line_dedup import brute as line_brute  # noqa: E402
+from test_line_dedup import brute_with_short as line_brute  # noqa: E402
 from test_near_dedup import brute as near_brute  # noqa: E402
 
 from tessella.llm import line_dedup, mixing, near_dedup, pieces  # noqa: E402
@@ -25,7 +25,7 @@ def test_stages_against_brute_force(spark, sf):
     texts = line_brute([(i, r["text"]) for i, r in rows[1].items()], line_dedup.THRESHOLD, line_dedup.MIN_BYTES)
     assert {i: t for i, t in texts.items() if t.strip() or t == rows[1][i]["text"]} == {i: r["text"] for i, r in rows[2].items()}
     assert all(r["n_chars"] == len(r["text"]) for r in rows[2].values())
-    assert sorted(rows[3]) == [r[0] for r in near_brute([(i, r["text"]) for i, r in rows[2].items()]) if r[3]]
+    assert sorted(rows[3]) == [r[0] for r in near_brute([(i, r["text"]) for i, r in rows[2].items()], corpus_pipeline.NEAR_PERCENT) if r[3]]
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     sizes, largest, taken = {}, {}, {}
     for r in rows[3].values():
@@ -36,19 +36,31 @@ def test_stages_against_brute_force(spark, sf):
         taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
     assert all(abs(taken.get(s, 0) - goal[s]) <= largest[s] / 2 + 1 for s in goal)
     p = pieces.Pieces(pieces.load())
-    assert {(r["doc_id"], p.decode(r["ids"])) for r in seen[5].collect()} == {(r["doc_id"], r["text"]) for r in seen[4].collect()}
+    assert all(p.decode(r["ids"]) == r["text"] and len(r["ids"]) == r["n_pieces"] for r in seen[5].collect())
+    assert {(r["doc_id"], r["text"]) for r in seen[5].collect()} == {(r["doc_id"], r["text"]) for r in seen[4].collect()}
 
 
 def test_odd_rows_and_an_empty_table(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     long = "A line of words that is long enough to be compared with others."
-    rows = [(1, long, "en", "a", 3, "x"), (1, long, "en", "a", 3, "x"), (None, "null id", None, None, None, "x"), (4, None, "en", "b", 0, "x"), (5, "", "en", "b", 0, "x"), (2, "spam spam", "en", "a", 1, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    own = ("ids", "_score", "_size", "_taken", "_n", "_copies", "_line_n", "_row_number", "row", "pattern", "gone")
+    rows = [(1, long, "en", "a", 3), (1, long, "en", "a", 3), (None, "null id", None, None, None), (4, None, "en", "b", 0), (5, "", "en", "b", 0), (2, "spam spam", "en", "a", 1)]
+    df = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in own)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
     for docs in (df, df.limit(0)):
         for _, f in corpus_pipeline.STAGES[:-1]:
             docs = f(spark, docs, str(tmp_path))
             assert docs.columns == df.columns
-        docs.collect()
+        got = docs.collect()
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in got for c in own)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted(str(r["text"]) for r in last) == sorted(str(r["text"]) for r in got)
+
+
+def test_documents_without_words_and_ties(spark, sf):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([None, "", " \n", "one two three", "one two three", "x y"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf).collect()) == [0, 1, 2, 3, 5]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf).collect()) == [0, 1, 2, 3, 5]
+    assert sorted({r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()}) == [3, 4, 5]
 
 
 def test_near_duplicates_from_similarity_80(spark, sf):
