@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import licenses, line_dedup, media, mixing, near_dedup, neighbours, pieces, quality, repeats, warc
+from tessella.llm import licenses, line_dedup, media, mixing, near_dedup, neighbours, oracles, pieces, quality, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,24 +56,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_repeats, op4_licenses, op5_transport_streams, op6_mixing, op7_line_dedup, op8_pieces, op9_warc, op10_neighbours)}
 
-MIXING_SQL = """
-WITH RECURSIVE d AS (
-    SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, md5(coalesce(text, '')) AS tie,
-           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
-    FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS w FROM d GROUP BY source),
-r AS (  -- by the share at which a source is full: all before it are full, and it is not
-    SELECT *, sum(total) OVER () - coalesce(3 * sum(total) OVER before, 0) AS left_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS ws
-    FROM s WINDOW before AS (ORDER BY 3.0 * total / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, left_ * w >= 3 * total * ws AS full_ FROM r),
-u AS (SELECT CAST(left_ AS DOUBLE) AS l, CAST(ws AS DOUBLE) AS ws FROM f WHERE NOT full_ ORDER BY left_ DESC, 3.0 * total / w LIMIT 1),
-t AS (SELECT source, total, CASE WHEN full_ THEN CAST(3 * total AS DOUBLE) ELSE (SELECT l FROM u) * w / (SELECT ws FROM u) END AS target FROM f),
-q AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS quota FROM t),
-p AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE quota // total END AS passes, CASE WHEN total = 0 THEN 0 ELSE quota % total END AS rest FROM q),
-o AS (SELECT d.doc_id, d.size, p.total, p.target, p.passes, p.rest,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, total AS source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o
-"""
-
-ORACLES: dict[str, str] = {"op6_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_SQL,
+    "op3_repeats": oracles.REPEATS_SQL,
+    "op4_licenses": oracles.licenses_sql(licenses.PHRASES, [(label, licenses.plain_words(text)) for label, text in licenses.BODIES], licenses.DRIFT, licenses.COVER),
+    "op6_mixing": oracles.MIXING_SQL,
+    "op7_line_dedup": oracles.LINES_SQL,
+    "op9_warc": oracles.WARC_SQL,
+}

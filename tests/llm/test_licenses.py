@@ -27,13 +27,21 @@ def test_base_places_equal_brute_force(spark):
 
 
 def test_bodies_are_found_with_insertions(spark):
-    body = licenses.BODIES[2][1].split()
+    body = licenses.BODIES[3][1].split()
     edited = body[:9] + ["really"] + body[9:17] + body[18:]
     texts = ["x y " * 40 + " ".join(edited) + " z", " ".join(body[:6]), " ".join(random.Random(1).sample(body, len(body)))]
     got = licenses.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
     assert [r["labels"] for r in got] == ["mit", "", ""] and got[0]["score"] >= 0.5 and got[0]["n_base"] == 0
 
 
+def test_positions_that_several_diagonals_hold_count_once(spark):
+    body = licenses.plain_words(licenses.BODIES[3][1])
+    part = body[: len(body) // 3]
+    texts = [" ".join(part + ["x"] + part[2:] + ["y"] + part[1:]), licenses.BODIES[2][1], licenses.BODIES[8][1].replace(",", "\n")]
+    got = licenses.scan(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("", 0.0), ("mit", 1.0), ("bsd", 1.0)]
+
+
 def test_query_on_small_tables(spark, sf):
     got = queries.op4_licenses(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

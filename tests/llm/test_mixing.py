@@ -93,5 +93,5 @@ def test_query_equals_sql(spark, sf):
     got = queries.op6_mixing(spark, sf).collect()
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    want = con.execute(f"select doc_id, size, source_size, target, taken from ({queries.MIXING_SQL})").fetchall()
+    want = con.execute(f"select doc_id, size, source_size, target, taken from ({queries.ORACLES['op6_mixing']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
