@@ -21,6 +21,7 @@ from tessella.errors import FormatError, PartitioningError
 from tessella.functions import geometry, morton
 from tessella.functions.blobs import check_encoding
 from tessella.operators import catalogs, mesh
+from tessella.operators.runs import changes, whole_runs
 
 MAX_OBJECTS = 1 << 24
 CORNERS = [f"{p}{a}" for p in "abc" for a in "xyz"]
@@ -99,28 +100,40 @@ PIECE = "level int, cell long, object_id long, v binary, f binary, displacement
 
 
 def pieces(fragments: DataFrame, cell_size: tuple, levels: int, decimation: Decimation, how: object) -> DataFrame:
-    """One row a (level, cell, object): the welded and, above level 0, simplified piece."""
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        level, cell, object_id = (k.as_py() for k in key)
-        # The order of rows must not matter: pieces are sorted by their corners.
-        t = np.stack([table.column(c).to_numpy() for c in CORNERS], axis=1)
-        t = t[np.lexsort(t.T[::-1])].reshape(-1, 3, 3)
-        v, f = mesh.weld(t)
-        before, moved, pinned, floor = len(f), 0.0, 0, False
-        if level and before:
-            fixed = mesh.on_planes(v, tuple(s << level for s in cell_size))
-            target = decimation.target(before, level)
-            pinned = int(fixed.sum())
-            v, f, moved, relaxed = mesh.relax(v, f, fixed, target, how)
-            floor = relaxed or before <= target or round(before * decimation.ratio**level) <= decimation.floor_faces
-        row = [level, cell, object_id, v.astype("<f8").tobytes(), f.astype("<i4").tobytes(), moved, before, pinned, floor]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
-        names = [n.split()[0] for n in PIECE.split(", ")]
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
+    """One row a (level, cell, object): the welded and, above level 0, simplified piece.
+
+    Rows come sorted by these and then by their corners, so that their order before does not matter;
+    all pieces of a batch are welded at once, and those that have their target pass as they are.
+    """
+    names = [n.split()[0] for n in PIECE.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
+    key = ["level", "cell", "object_id"]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, key):
+            starts = np.concatenate([[0], changes(table, key)])
+            piece = np.repeat(np.arange(len(starts)), np.diff(starts, append=table.num_rows))
+            triangles = np.stack([table.column(c).to_numpy() for c in CORNERS], axis=1).reshape(-1, 3, 3)
+            vertices, of_vertex, faces, of_face = mesh.weld_many(piece, triangles)
+            level, cell, object_id = (table[k].to_numpy()[starts] for k in key)
+            extent = np.array(cell_size, float)[None, :] * (1 << level[of_vertex].astype(np.int64))[:, None]
+            fixed = mesh.on_planes(vertices, extent)
+            coarse = level[of_face] > 0
+            around = how.knows(vertices, faces[coarse]) if hasattr(how, "knows") and coarse.any() else None
+            out = []
+            for k, (vs, fs) in enumerate(mesh.per_piece(of_vertex, of_face, len(starts))):
+                v, f, held = vertices[vs], faces[fs] - vs.start, fixed[vs]
+                n, before, moved, pinned, floor = int(level[k]), len(f), 0.0, 0, False
+                if n and before:
+                    target, pinned = decimation.target(before, n), int(held.sum())
+                    known = {"known": around.of(vs)} if around is not None else {}
+                    v, f, moved, relaxed = mesh.relax(v, f, held, target, how, **known)
+                    floor = relaxed or before <= target or round(before * decimation.ratio**n) <= decimation.floor_faces
+                out.append((n, int(cell[k]), int(object_id[k]), v.astype("<f8").tobytes(), f.astype("<i4").tobytes(), moved, before, pinned, floor))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
 
     rows = catalogs.at_levels(fragments, levels)
-    return rows.groupBy("level", "cell", "object_id").applyInArrow(build, PIECE)
+    return rows.select(*key, *CORNERS).repartition(*key).sortWithinPartitions(*key, *CORNERS).mapInArrow(over, PIECE)
 
 
 GEOMETRY = "level int, cell long, positions binary, indices binary, vertex_count int, index_count int, object_ids array<long>, object_ordinals array<int>, object_vertex_offsets array<int>, object_index_offsets array<int>"
@@ -133,26 +146,32 @@ def assemble(built: DataFrame, cell_size: tuple, compression: str = "NONE") -> D
     built: pieces and ordinal. Positions are quantised in the cell's box; indices count through the cell.
     """
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        level, cell = (k.as_py() for k in key)
-        rows = sorted(table.to_pylist(), key=lambda r: r["object_id"])
-        vs = [np.frombuffer(r["v"], "<f8").reshape(-1, 3) for r in rows]
-        fs = [np.frombuffer(r["f"], "<i4").reshape(-1, 3) for r in rows]
-        starts = np.cumsum([0, *map(len, vs)])
+    names = [n.split()[0] for n in f"{GEOMETRY}, {STATS}".split(", ")]
+    ints = pa.list_(pa.int32())
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), ints, ints, ints, *[pa.float64()] * 7)
+    columns = ["level", "cell", "object_id", "ordinal", "v", "f", "displacement"]
+
+    def row(level: int, cell: int, parts: list[tuple]) -> tuple:
+        ids, numbers, vs, fs, displacement = zip(*parts)
+        vs, fs = ([np.frombuffer(x, kind).reshape(-1, 3) for x in xs] for xs, kind in ((vs, "<f8"), (fs, "<i4")))
+        starts, ends = (np.cumsum([0, *(step * len(x) for x in xs)]) for xs, step in ((vs, 1), (fs, 3)))
         v = np.concatenate(vs)
-        f = np.concatenate([f.astype(np.int64) + s for f, s in zip(fs, starts)])
+        f = np.concatenate([x.astype(np.int64) + s for x, s in zip(fs, starts)])
         positions, indices = encode_positions(v, cell, level, cell_size).tobytes(), f.astype("<u4").tobytes()
         if compression == "ZSTD":
             positions, indices = (pa.compress(b, "zstd", asbytes=True) for b in (positions, indices))
-        ends = np.cumsum([0, *(3 * len(f) for f in fs)])
         low, high = (v.min(axis=0), v.max(axis=0)) if len(v) else (np.zeros(3), np.zeros(3))
-        row = [level, cell, positions, indices, len(v), 3 * len(f), [r["object_id"] for r in rows], [r["ordinal"] for r in rows], starts[:-1].tolist(), ends[:-1].tolist(), *low, *high, max(r["displacement"] for r in rows)]
-        ints = pa.list_(pa.int32())
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), ints, ints, ints, *[pa.float64()] * 7)
-        names = [n.split()[0] for n in f"{GEOMETRY}, {STATS}".split(", ")]
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
+        return (level, cell, positions, indices, len(v), 3 * len(f), list(ids), list(numbers), starts[:-1].tolist(), ends[:-1].tolist(), *low, *high, max(displacement))
 
-    return built.where(F.octet_length("f") > 0).groupBy("level", "cell").applyInArrow(build, f"{GEOMETRY}, {STATS}")
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["level", "cell"]):
+            starts = [0, *changes(table, ["level", "cell"]).tolist(), table.num_rows]
+            level, cell, *parts = (table[c].to_pylist() for c in columns)
+            out = [row(level[a], cell[a], list(zip(*(x[a:b] for x in parts)))) for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+
+    rows = built.where(F.octet_length("f") > 0).select(columns).repartition("level", "cell").sortWithinPartitions("level", "cell", "object_id")
+    return rows.mapInArrow(over, f"{GEOMETRY}, {STATS}")
 
 
 def gathered(code: int, axis: int) -> int:
