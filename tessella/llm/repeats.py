@@ -9,8 +9,9 @@ How a corpus-wide suffix array is kept small and distributed:
    50). Equal windows have equal anchors, so two equal windows meet under an anchor's k-gram. The
    keys go through the shuffle packed by hash range; k-grams that occur once end here.
 2. Contexts. What stands around an anchor inside its windows (at most `least` - k bytes before it,
-   `least` bytes from it on) decides everything. Equal contexts are one entry with a count: copies
-   and periodic runs collapse, and a context that occurs twice is repeated wholly.
+   `least` bytes from it on) decides everything. Equal contexts, told by 128-bit digests, are one
+   entry with a count: copies and periodic runs collapse, and a context that occurs twice is a
+   repeat of its own.
 3. The tree. The different contexts of one k-gram are sorted by what follows the anchor: a sparse
    enhanced suffix array (order and common prefixes). One scan with a stack gives its intervals,
    each a set of places with a common right side. Inside an interval the left sides are sorted too:
@@ -19,8 +20,13 @@ How a corpus-wide suffix array is kept small and distributed:
    its places from its left end to its right end.
 4. Spans go back to the documents and are joined to runs.
 
-A k-gram with more than `largest` different contexts is counted window by window instead, which
-is exact too and has no group in one task.
+The tree of a k-gram with more than `largest` different contexts is not scanned in one task: its
+intervals of `least` bytes, which are all that coverage needs, are found by grouping the contexts'
+windows instead, over all tasks.
+
+`repeat_groups` puts the tree's maximal repeats out, each with all its places; `repeated_spans` the
+merged runs. A group reaches as far as the contexts do (300 bytes at most); longer repeats are
+several overlapping groups.
 
 Defined cases: null texts are empty; empty and short texts have no repeats. Equal rows repeat each
 other, whatever their ids; null ids are as good as any. Only the named columns are read. Empty
@@ -30,10 +36,11 @@ tables give no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +48,7 @@ from tessella.llm.shared import KeyFilter, arrow, cut
 from tessella.llm.words import PIECE, Powers, mix, runs, seeded, texts_of
 
 LEAST, GRAM = 200, 100
-LARGEST = 20_000
+LARGEST = 2_000  # contexts of a k-gram whose tree one task scans
 RANGE_KEYS = 1 << 18  # anchors of a hash range, about
 
 
@@ -67,16 +74,19 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((p, first))
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int, every: bool = False) -> Iterator[tuple[int, int, list[int]]]:
     """(left, right, places): sets of places whose texts agree for `left` bytes before them and
     `right` bytes from them on, left + right >= least, and which extend in neither direction together.
 
-    rights: what follows each place; lefts: what stands before it, reversed. A place's best repeat
-    for each left length is among those it is given in.
+    rights: what follows each place; lefts: what stands before it, reversed. All of them with `every`;
+    else those that add something to what their places are given in already, which is all that
+    coverage needs.
     """
     order = sorted(range(len(rights)), key=rights.__getitem__)
     prefixes = [common(rights[a], rights[b]) for a, b in zip(order, order[1:])]
-    rank = [0] * len(lefts)
+    rank, spot = [0] * len(lefts), [0] * len(lefts)
+    for r, i in enumerate(order):
+        spot[i] = r
     by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
     for r, i in enumerate(by_left):
         rank[i] = r
@@ -91,6 +101,11 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
         for left, lo, hi in intervals(sides):
             if left >= need and left + right >= least:
                 places = members[lo : hi + 1]
+                if every:
+                    at = [spot[i] for i in places]
+                    if min(prefixes[min(at) : max(at)]) == right:  # else they go on together to the right
+                        yield left, right, places
+                    continue
                 new = [i for i in places if best[i] < left]
                 if new:
                     for i in new:
@@ -117,9 +132,9 @@ class Anchors:
         return pick(back[:n], ahead[w - 1 : w - 1 + n])
 
     def __call__(self, raw: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-        """places, text numbers, gram hashes, context hashes, context starts, context ends. own: text offsets."""
+        """places, text numbers, gram hashes, context digests (two halves), context starts, context ends. own: text offsets."""
         n, k, least = len(raw), self.gram, self.least
-        none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64))
         if n < least:
             return none
         up, down = self.powers.upto(n + 1)
@@ -141,8 +156,9 @@ class Anchors:
             at = np.flatnonzero(high == h)
             which = np.searchsorted(own, at, side="right") - 1
             lo, hi = np.maximum(own[which], at - (least - k)), np.minimum(own[which + 1], at + least)
-            c = mix((total[hi] - total[lo]) * down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        return at, which, h[at], c, lo, hi
+        body, digest = raw.tobytes(), xxhash.xxh3_128_digest
+        c = np.frombuffer(b"".join([digest(body[a:b], i - a) for a, i, b in zip(lo.tolist(), at.tolist(), hi.tolist())]), np.uint64).reshape(-1, 2)
+        return at, which, h[at], c[:, 0], c[:, 1], lo, hi
 
 
 def over_texts(column: pa.Array, anchors: Anchors) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
@@ -154,30 +170,30 @@ def over_texts(column: pa.Array, anchors: Anchors) -> Iterator[tuple[int, np.nda
 
 
 def packed(docs: DataFrame, least: int, gram: int, ranges: int) -> DataFrame:
-    """range, h, c, d, n packed: the anchors' k-grams, contexts, documents and how often in each."""
+    """range, h, c, e, d, n packed: the anchors' k-grams, contexts (two halves), documents and how often in each."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, size = Anchors(least, gram), [], 0
 
         def flush() -> pa.RecordBatch:
-            h, c, d, n = (np.concatenate([x[i] for x in held]) for i in range(4))
+            h, c, e, d, n = (np.concatenate([x[i] for x in held]) for i in range(5))
             with np.errstate(over="ignore"):  # anchors are minima, so their hashes are small: mixed anew
                 which = ((mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(which, kind="stable")
             names, first = np.unique(which[order], return_index=True)
             parts = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, c, d, n))], names=["range", "h", "c", "d", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, c, e, d, n))], names=["range", "h", "c", "e", "d", "n"])
 
         for batch in batches:
             d = batch.column(0).to_numpy()
-            for lo, _, _, (_, which, h, c, _, _) in over_texts(batch.column(1), anchors):
-                order = np.lexsort((c, h, which))
-                which, h, c = which[order], h[order], c[order]
+            for lo, _, _, (_, which, h, c, e, _, _) in over_texts(batch.column(1), anchors):
+                order = np.lexsort((e, c, h, which))
+                which, h, c, e = which[order], h[order], c[order], e[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                new[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (e[1:] != e[:-1])
                 first = np.flatnonzero(new)
                 n = np.minimum(np.diff([*first, len(h)]), 2).astype(np.uint8)  # once, or more often
-                held.append((h[first], c[first], d[lo + which[first]], n))
+                held.append((h[first], c[first], e[first], d[lo + which[first]], n))
                 size += len(first)
                 if size > 400_000:
                     yield flush()
@@ -185,22 +201,22 @@ def packed(docs: DataFrame, least: int, gram: int, ranges: int) -> DataFrame:
         if size:
             yield flush()
 
-    return arrow(docs.select("d", "text"), over, "range int, h binary, c binary, d binary, n binary")
+    return arrow(docs.select("d", "text"), over, "range int, h binary, c binary, e binary, d binary, n binary")
 
 
 def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
-    """h, c, d, twice, kinds, lead: the anchors whose k-gram occurs twice at least.
+    """h, c, e, d, twice, kinds, lead: the anchors whose k-gram occurs twice at least.
 
     twice: the context does too; kinds: different contexts of the k-gram; lead: one row of a context.
     """
-    kinds = (("h", np.uint64), ("c", np.uint64), ("d", np.int64), ("n", np.uint8))
+    kinds = (("h", np.uint64), ("c", np.uint64), ("e", np.uint64), ("d", np.int64), ("n", np.uint8))
 
     def meet(parts: list) -> Iterator[pa.RecordBatch]:
-        h, c, d, n = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, (_, t) in enumerate(kinds))
-        order = np.lexsort((d, c, h))
-        h, c, d, n = h[order], c[order], d[order], n[order].astype(np.int64)
+        h, c, e, d, n = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, (_, t) in enumerate(kinds))
+        order = np.lexsort((d, e, c, h))
+        h, c, e, d, n = h[order], c[order], e[order], d[order], n[order].astype(np.int64)
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])
         of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
         at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
         total, twice, several = np.add.reduceat(n, at_h), np.add.reduceat(n, at_c) > 1, np.add.reduceat(new_c.astype(np.int64), at_h)
@@ -211,12 +227,12 @@ def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
         keep = keep[~same[keep]]
         for lo in range(0, len(keep), 200_000):
             i = keep[lo : lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(c[i].view(np.int64)), pa.array(d[i]), pa.array(twice[of_c[i]]), pa.array(several[of_h[i]]), pa.array(new_c[i])], names=["h", "c", "d", "twice", "kinds", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(c[i].view(np.int64)), pa.array(e[i].view(np.int64)), pa.array(d[i]), pa.array(twice[of_c[i]]), pa.array(several[of_h[i]]), pa.array(new_c[i])], names=["h", "c", "e", "d", "twice", "kinds", "lead"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = None, []
         for batch in batches:
-            cols = [batch.column(x) for x in ("h", "c", "d", "n")]
+            cols = [batch.column(x) for x in ("h", "c", "e", "d", "n")]
             for i, key in enumerate(batch.column("range").to_pylist()):
                 if key != held and parts:
                     yield from meet(parts)
@@ -226,7 +242,7 @@ def occurrences(packs: DataFrame, ranges: int) -> DataFrame:
         if parts:
             yield from meet(parts)
 
-    return arrow(packs.repartition(ranges, "range").sortWithinPartitions("range"), over, "h long, c long, d long, twice boolean, kinds long, lead boolean")
+    return arrow(packs.repartition(ranges, "range").sortWithinPartitions("range"), over, "h long, c long, e long, d long, twice boolean, kinds long, lead boolean")
 
 
 def pressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,8 +266,8 @@ def unpressed(size: pa.Array, z: pa.Array) -> pa.Array:
 
 
 def contexts(docs: DataFrame, leads: DataFrame, least: int, gram: int) -> DataFrame:
-    """h, c, before (reversed), after of each lead (h, c, d); copies of a document repeat its rows."""
-    wanted = leads.groupBy("d").agg(F.collect_list(F.struct("h", "c")).alias("wanted"))  # a document's own anchors at most
+    """h, c, e, before (reversed), after of each lead (h, c, e, d); copies of a document repeat its rows."""
+    wanted = leads.groupBy("d").agg(F.collect_list(F.struct("h", "c", "e")).alias("wanted"))  # a document's own anchors at most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(least, gram)
@@ -260,77 +276,95 @@ def contexts(docs: DataFrame, leads: DataFrame, least: int, gram: int) -> DataFr
                 part = batch.slice(lo, 200)
                 lists = part.column(2).to_pylist()
                 rows = []
-                for first, raw, _, (at, which, h, c, a, b) in over_texts(unpressed(part.column(0), part.column(1)), anchors):
-                    h, c = h.view(np.int64).tolist(), c.view(np.int64).tolist()
+                for first, raw, _, (at, which, h, c, e, a, b) in over_texts(unpressed(part.column(0), part.column(1)), anchors):
+                    keys = list(zip(*(x.view(np.int64).tolist() for x in (h, c, e))))
                     ends = np.searchsorted(which, np.arange(int(which[-1]) + 2) if len(which) else [0, 0])
                     for t in range(len(ends) - 1):
-                        want = {(x["h"], x["c"]) for x in lists[first + t]}
+                        want = {(x["h"], x["c"], x["e"]) for x in lists[first + t]}
                         for i in range(ends[t], ends[t + 1]):
-                            if (h[i], c[i]) in want:
-                                want.discard((h[i], c[i]))
-                                rows.append((h[i], c[i], raw[a[i] : at[i]][::-1].tobytes(), raw[at[i] : b[i]].tobytes()))
+                            if keys[i] in want:
+                                want.discard(keys[i])
+                                rows.append((*keys[i], raw[a[i] : at[i]][::-1].tobytes(), raw[at[i] : b[i]].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["h", "c", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["h", "c", "e", "before", "after"])
 
     joined = pressed(docs, leads.select("d").distinct()).join(wanted, "d").select("size", "z", "wanted")
-    return arrow(joined, over, "h long, c long, before binary, after binary")
+    return arrow(joined, over, "h long, c long, e long, before binary, after binary")
 
 
-def covered(found: DataFrame, least: int) -> DataFrame:
-    """h, c, spans: for contexts (h, c, before, after), flat pairs of bytes marked before and after."""
+def by_gram(found: DataFrame, give: Callable[[int, list[tuple]], Iterator[tuple]], schema: str, kinds: tuple) -> DataFrame:
+    """What `give` makes of each k-gram and its different contexts (c, e, before, after)."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, out = None, [], []
 
-        def finish() -> None:
-            spans: list[list[int]] = [[] for _ in rows]
-            if len(rows) == 2:
-                left, right = common(rows[0][1], rows[1][1]), common(rows[0][2], rows[1][2])
-                if left + right >= least:
-                    spans = [[left, right]] * 2
-            else:
-                for left, right, places in maximal_repeats([r[2] for r in rows], [r[1] for r in rows], least):
-                    for i in places:
-                        spans[i] += [left, right]
-            out.extend((held, r[0], s) for r, s in zip(rows, spans) if s)
-
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["h", "c", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
         for batch in batches:
-            for h, c, before, after in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for h, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if h != held:
-                    if len(rows) > 1:
-                        finish()
+                    if rows:
+                        out += give(held, rows)
                     held, rows = h, []
-                if not rows or rows[-1][0] != c:
-                    rows.append((c, before, after))
+                if not rows or rows[-1][:2] != tuple(row[:2]):
+                    rows.append(tuple(row))
             if len(out) > 20_000:
                 yield emit()
                 out = []
-        if len(rows) > 1:
-            finish()
+        if rows:
+            out += give(held, rows)
         if out:
             yield emit()
 
-    return arrow(found.select("h", "c", "before", "after").repartition("h").sortWithinPartitions("h", "c"), over, "h long, c long, spans array<int>")
+    ordered = found.select("h", "c", "e", "before", "after").repartition("h").sortWithinPartitions("h", "c", "e")
+    return arrow(ordered, over, schema)
 
 
-def counted(found: DataFrame, least: int) -> DataFrame:
-    """The same for k-grams with very many contexts: each window by itself, by counting."""
+SPANS = "h long, c long, e long, spans array<int>", (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+
+
+def covered(found: DataFrame, least: int) -> DataFrame:
+    """h, c, e, spans: for contexts (h, c, e, before, after), flat pairs of bytes marked before and after."""
+
+    def give(h: int, rows: list[tuple]) -> Iterator[tuple]:
+        spans: list[list[int]] = [[] for _ in rows]
+        if len(rows) == 2:
+            left, right = common(rows[0][2], rows[1][2]), common(rows[0][3], rows[1][3])
+            if left + right >= least:
+                spans = [[left, right]] * 2
+        else:
+            for left, right, places in maximal_repeats([r[3] for r in rows], [r[2] for r in rows], least):
+                for i in places:
+                    spans[i] += [left, right]
+        return ((h, *r[:2], s) for r, s in zip(rows, spans) if s)
+
+    return by_gram(found, give, *SPANS)
+
+
+def windows(found: DataFrame, least: int) -> DataFrame:
+    """h, c, e, left, w: the windows of `least` bytes of each context, by how many of them stand before the k-gram, digested."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for h, c, before, after in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text, at, rows = before[::-1] + after, len(before), []
-                for left in range(max(0, least - len(after)), len(before) + 1):
-                    rows.append((h, c, left, hashlib.md5(text[at - left : at - left + least]).digest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "c", "left", "w"])
+            for h, c, e, before, after in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                text, at = before[::-1] + after, len(before)
+                lefts = range(max(0, least - len(after)), at + 1)
+                if lefts:
+                    n = len(lefts)
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()) for x in (h, c, e)] + [pa.array(lefts, pa.int32()), pa.array([digest(text[at - x : at - x + least]) for x in lefts], pa.binary())], names=["h", "c", "e", "left", "w"])
 
-    rows = arrow(found.select("h", "c", "before", "after"), over, "h long, c long, left int, w binary")
+    return arrow(found.select("h", "c", "e", "before", "after"), over, "h long, c long, e long, left int, w binary")
+
+
+def counted(found: DataFrame, least: int) -> DataFrame:
+    """The same as covered for k-grams of very many contexts: the tree's intervals of `least` bytes, by grouping."""
+    rows = windows(found, least)
     twice = rows.groupBy("h", "left", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice, ["h", "left", "w"]).groupBy("h", "c").agg(F.flatten(F.collect_list(F.array("left", F.lit(least) - F.col("left")))).cast("array<int>").alias("spans"))
+    held = rows.join(twice, ["h", "left", "w"]).groupBy("h", "c", "e")
+    return held.agg(F.flatten(F.collect_list(F.array("left", F.lit(least) - F.col("left")))).cast("array<int>").alias("spans"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -347,10 +381,10 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
     few, many = leads.where(F.col("kinds") <= largest), leads.where(F.col("kinds") > largest)
     spans = covered(contexts(docs, few, least, gram), least)
     if not many.isEmpty():
-        spans = spans.union(counted(contexts(docs, many, least, gram).dropDuplicates(["h", "c"]), least))
-    mine = cut(found.join(cut(spans, "spans"), ["h", "c"], "left").where("twice or spans is not null").select("d", "h", "c", "twice", "spans"), "marks")
+        spans = spans.union(counted(contexts(docs, many, least, gram).dropDuplicates(["h", "c", "e"]), least))
+    mine = cut(found.join(cut(spans, "spans"), ["h", "c", "e"], "left").where("twice or spans is not null").select("d", "h", "c", "e", "twice", "spans"), "marks")
     dirty = mine.select("d").distinct()
-    mine = mine.groupBy("d").agg(F.collect_list(F.struct("h", "c", "twice", "spans")).alias("marks"))  # a document's own anchors at most
+    mine = mine.groupBy("d").agg(F.collect_list(F.struct("h", "c", "e", "twice", "spans")).alias("marks"))  # a document's own anchors at most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(least, gram)
@@ -358,14 +392,14 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 lists, starts, ends = part.column(4).to_pylist(), [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
-                for first, _, own, (at, which, h, c, a, b) in over_texts(unpressed(part.column(2), part.column(3)), anchors):
-                    h, c = h.view(np.int64).tolist(), c.view(np.int64).tolist()
+                for first, _, own, (at, which, h, c, e, a, b) in over_texts(unpressed(part.column(2), part.column(3)), anchors):
+                    keys = list(zip(*(x.view(np.int64).tolist() for x in (h, c, e))))
                     cuts = np.searchsorted(which, np.arange(len(own)))
                     for t in range(len(own) - 1):
-                        marks = {(x["h"], x["c"]): (x["twice"], x["spans"]) for x in lists[first + t]}
+                        marks = {(x["h"], x["c"], x["e"]): (x["twice"], x["spans"]) for x in lists[first + t]}
                         edge = np.zeros(int(own[t + 1] - own[t]) + 1, np.int64)
                         for i in range(cuts[t], cuts[t + 1]):
-                            twice, spans_ = marks.get((h[i], c[i]), (False, None))
+                            twice, spans_ = marks.get(keys[i], (False, None))
                             if twice:
                                 edge[a[i] - own[t]] += 1
                                 edge[b[i] - own[t]] -= 1
@@ -384,6 +418,64 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
     return arrow(joined, over, "d long, d2 int, size long, z binary, starts array<long>, ends array<long>")
 
 
+GROUPS = "h long, c long, e long, grp long, left int, right int", (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, largest: int = LARGEST) -> DataFrame:
+    """group, length, id, start: all places (bytes) of each maximal repeat around an anchor.
+
+    A group's places hold equal bytes, `least` at least, and go on together in neither direction
+    within their contexts. Equal rows are places of their own. Of k-grams with more than `largest`
+    contexts the groups are the windows of `least` bytes.
+    """
+    own = keyed(docs, id_col, text_col)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(8, -(-size * 2 // (least - gram) // RANGE_KEYS))
+    texts = own.dropDuplicates(["d", "d2"])
+    found = cut(occurrences(packed(own, least, gram, ranges), ranges), "anchors")
+    leads = found.where("lead")
+    twice = found.where("lead and twice").select("h", "c", "e", F.lit(True).alias("whole"))
+
+    def give(h: int, rows: list[tuple]) -> Iterator[tuple]:
+        n = 0
+        for left, right, places in maximal_repeats([r[3] for r in rows], [r[2] for r in rows], least, every=True) if len(rows) > 1 else ():
+            n += 1
+            for i in places:
+                yield (h, *rows[i][:2], n, left, right)
+        for i, r in enumerate(rows):  # a context that is there twice is a repeat wherever no group reaches so far
+            yield (h, *r[:2], -1 - i, len(r[2]), len(r[3]))
+
+    few, many = leads.where(F.col("kinds") <= largest), leads.where(F.col("kinds") > largest)
+    groups = by_gram(contexts(texts, few, least, gram), give, *GROUPS)
+    if not many.isEmpty():
+        rows = windows(contexts(texts, many, least, gram).dropDuplicates(["h", "c", "e"]), least)
+        groups = groups.union(rows.select("h", "c", "e", F.xxhash64("left", "w").bitwiseAND(F.lit(2**63 - 1)).alias("grp"), "left", (F.lit(least) - F.col("left")).alias("right")))
+    groups = groups.join(twice, ["h", "c", "e"], "left").where("grp >= 0 or whole").drop("whole")
+    mine = cut(found.select("d", "h", "c", "e").distinct().join(groups, ["h", "c", "e"]), "groups")
+    dirty, lists = mine.select("d").distinct(), mine.groupBy("d").agg(F.collect_list(F.struct("h", "c", "e", "grp", "left", "right")).alias("marks"))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(least, gram)
+        for batch in batches:
+            d, d2, z, marks = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            for k in range(batch.num_rows):
+                part, out = batch.slice(k, 1), []
+                held: dict[tuple, list] = {}
+                for x in marks[k]:
+                    held.setdefault((x["h"], x["c"], x["e"]), []).append(x)
+                for _, _, _, (at, _, h, c, e, _, _) in over_texts(unpressed(part.column(2), part.column(3)), anchors):
+                    for i, key in zip(at.tolist(), zip(*(x.view(np.int64).tolist() for x in (h, c, e)))):
+                        out += [(d[k], d2[k], key[0], x["grp"], x["left"] + x["right"], i - x["left"]) for x in held.get(key, ())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["d", "d2", "h", "grp", "length", "start"])
+
+    joined = pressed(texts, dirty).join(lists, "d").select("d", "d2", "size", "z", "marks")
+    places = arrow(joined, over, "d long, d2 int, h long, grp long, length long, start long")
+    out = own.select("id", "d", "d2").join(places, ["d", "d2"]).select(F.xxhash64("h", "grp", "length").alias("group"), "length", F.col("id").alias(id_col), "start")
+    several = out.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return out.join(several, "group")
+
+
 def without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     out, at = [], 0
     for a, b in zip(starts, ends):
