@@ -1,8 +1 @@
 """Operators for large training corpora. Nothing outside this subpackage imports it."""
-
-from pyspark import cloudpickle
-
-import tessella
-
-# Workers get the functions themselves, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(tessella)

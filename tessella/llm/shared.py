@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,16 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.words import mix
+from tessella.sources import scratch as scratch_tables
+from tessella.sources.scratch import remove, scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: spark.checkpoint.dir, or a local one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["arrow", "cut", "integer", "literal_table", "remove", "scratch", "shared_dir", "small_batches", "stream_groups", "unused", "KeyFilter", "map_arrow"]
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -37,34 +28,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system; a missing one is no error."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
-
-    def gone() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-    atexit.register(gone)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """scratch.cut with small batches."""
+    small_batches(df.sparkSession)
+    return scratch_tables.cut(df, label, free)
 
 
 def unused(columns: list[str], names: tuple[str, ...]) -> dict[str, str]:

@@ -32,12 +32,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.morton import count_upto
 from tessella.llm.shared import arrow, cut, integer, literal_table, scratch, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
@@ -130,15 +130,6 @@ def bounds(rows: DataFrame, shard_bytes: int) -> tuple[list[int], int]:
     return [r["id"] for r in firsts[1:]], -(-lost // shard_bytes)
 
 
-def count_upto(limits: list[int], x: Column) -> Column:
-    """How many of the ascending limits are at most x: a binary search in one literal."""
-    if not limits:
-        return F.lit(0)
-    held, n = F.lit(np.array(limits, np.int64)), len(limits)
-    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(held, F.least(at + step, F.lit(n))) <= x), at + step).otherwise(at))
-
-
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archive under `path` and returns its manifest (file, shard, part, records, bytes, sha256)."""
     integer(pages, id_col)
