@@ -1 +1,8 @@
-"""Tessella: level-of-detail surface collections on Spark DataFrames."""
+"""Level-of-detail surface collections on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the functions themselves, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,8 @@ Packing by expressions keeps a plan in the JVM; the build packs whole cells with
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,5 @@ def check_encoding(codec: str, compression: str, indices: str = "UINT32") -> Non
         raise FormatError(f"unknown indices {indices!r}")
     if indices == "UINT16":
         raise FormatError("16-bit indices are named by the format, but blobs of them are not written or read")
-    if codec == "MESHOPT":
-        try:
-            import meshoptimizer  # noqa: F401
-        except ImportError as e:
-            raise MissingExtraError("codec MESHOPT needs the package meshoptimizer") from e
+    if codec == "MESHOPT" and importlib.util.find_spec("meshoptimizer") is None:
+        raise MissingExtraError("codec MESHOPT needs the package meshoptimizer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +72,12 @@ def box(cell: Column | str, level: Column, cell_size: tuple) -> tuple[list[Colum
     scale = F.lit(1 << level) if isinstance(level, int) else bit(level)
     extent = [F.lit(float(s)) * scale for s in cell_size]
     return [n * e for n, e in zip(decode(cell), extent)], extent
+
+
+def count_upto(limits: list[int], x: Column) -> Column:
+    """How many of the ascending limits are at most x: a binary search in one literal."""
+    if not limits:
+        return F.lit(0)
+    held, n = F.lit(np.array(limits, np.int64)), len(limits)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(held, F.least(at + step, F.lit(n))) <= x), at + step).otherwise(at))

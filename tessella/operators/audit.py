@@ -1,9 +1,11 @@
 """Integrity of a collection: seventeen checks in three tiers, each a query for what breaks a claim.
 
 Bad data never raises: every check runs and reports. A check's violations are counted and the first
-five are quoted; only those leave the cluster. The blobs tier decodes each cell once.
+five are quoted; only those leave the cluster. The blobs tier decodes each cell once. What a check
+finds comes from a function of frames, which the collection's own frames are given to.
 """
 
+
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
@@ -96,9 +98,11 @@ def lengths_are_right(c: Collection) -> Check:
 
 
 def levels_contiguous(c: Collection) -> Check:
-    present = {r[0] for r in c.cells().select("level").distinct().collect()}  # at most a few tens
-    missing = sorted(set(range(c.manifest.levels)) - present)
-    return Check("levels are contiguous", "structure", not missing, f"{len(missing)} missing", tuple(f"level {n}" for n in missing[:5]))
+    return violations("levels are contiguous", "structure", missing_levels(c.cells(), c.manifest.levels), told("level %s", "level"))
+
+
+def missing_levels(cells: DataFrame, levels: int) -> DataFrame:
+    return cells.sparkSession.range(levels).select(F.col("id").cast("int").alias("level")).join(cells.select("level").distinct(), "level", "left_anti")
 
 
 def masks_name_children(c: Collection) -> Check:
@@ -140,23 +144,31 @@ def misplaced(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def ordinals_dense(c: Collection) -> Check:
-    r = c.objects().agg(F.count("*"), F.countDistinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first()
-    ok = r[0] == r[1] and (r[0] == 0 or (r[2], r[3]) == (0, r[0] - 1))
-    return Check("object ordinals are dense", "structure", ok, f"{r[0]} objects, {r[1]} ordinals from {r[2]} to {r[3]}")
+    r = ordinal_range(c.objects()).first()
+    ok = r["objects"] == r["ordinals"] and (not r["objects"] or (r["first"], r["last"]) == (0, r["objects"] - 1))
+    return Check("object ordinals are dense", "structure", ok, f"{r['objects']} objects, {r['ordinals']} ordinals from {r['first']} to {r['last']}")
+
+
+def ordinal_range(objects: DataFrame) -> DataFrame:
+    """One row: objects, different ordinals, the first and the last."""
+    return objects.agg(F.count("*").alias("objects"), F.countDistinct("ordinal").alias("ordinals"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+
+
+def dangling(owned: DataFrame, cells: DataFrame) -> DataFrame:
+    """Owned cells (object_id, level, cell) that the catalog lacks."""
+    return owned.join(cells.select("level", "cell"), ["level", "cell"], "left_anti").select("object_id", "level", "cell")
 
 
 def objects_name_cells(c: Collection) -> Check:
-    bad = c.object_cells().join(c.cells().select("level", "cell"), ["level", "cell"], "left_anti")
+    bad = dangling(c.object_cells(), c.cells())
     return violations("the object catalog names cells that exist", "structure", bad, told("object %s: level %s cell %s", "object_id", "level", "cell"))
 
 
 # Tier 2: one decode of every cell.
 
 
-def blob_problems(c: Collection) -> DataFrame:
-    """level, cell, kind, said: what is wrong with each cell's row."""
-    m = c.manifest
-    size, compression = m.cell_size, m.compression
+def blob_problems(rows: DataFrame, size: tuple, codec: str = "NONE", compression: str = "NONE") -> DataFrame:
+    """level, cell, kind, said: what is wrong with each geometry row."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +177,7 @@ def blob_problems(c: Collection) -> DataFrame:
                 where, said = (r["level"], r["cell"]), []
                 n, k = r["vertex_count"], r["index_count"]
                 try:
-                    v, f = pyramid.decode_cell(r["positions"], r["indices"], r["cell"], r["level"], size, n, k, compression)
+                    v, f = pyramid.decode_cell(r["positions"], r["indices"], r["cell"], r["level"], size, n, k, codec, compression)
                 except (FormatError, TypeError) as e:
                     out.append((*where, "decode", str(e)))
                     v = f = None
@@ -184,7 +196,7 @@ def blob_problems(c: Collection) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string()))], names=["level", "cell", "kind", "said"])
 
-    return all_rows(c).mapInArrow(over, "level int, cell long, kind string, said string")
+    return rows.mapInArrow(over, "level int, cell long, kind string, said string")
 
 
 def all_rows(c: Collection) -> DataFrame:
@@ -200,18 +212,38 @@ BLOBS = {
     "offsets": "object offset runs ascend and stay in bounds",
     "box": "a cell's vertices lie inside the box it addresses",
 }
+AGREE = "the two catalogs agree about who is in which cell"
 
 
-def blob_checks(c: Collection) -> list[Check]:
-    found = blob_problems(c).persist()
-    missing = c.cells().select("level", "cell").join(all_rows(c).select("level", "cell"), ["level", "cell"], "left_anti")
-    found = found.unionByName(missing.select("level", "cell", F.lit("decode").alias("kind"), F.lit("no row").alias("said")))
-    out = [violations(name, "blobs", found.where(F.col("kind") == kind), told("level %s cell %s: %s", "level", "cell", "said")) for kind, name in BLOBS.items()]
-    named, held = c.object_cells(), all_rows(c).select("level", "cell", F.explode("object_ids").alias("object_id"))
+def lost_rows(cells: DataFrame, placed: DataFrame) -> DataFrame:
+    """level, cell, said: catalog rows without a geometry row, or with one elsewhere than in the row group they name.
+
+    A locator that names no row group at all is told by another check.
+    """
+    there = placed.select("level", "cell", F.col("part").alias("_part"), F.col("row_group").alias("_group"))
+    groups = placed.select("level", "part", "row_group").distinct().withColumn("_named", F.lit(True))
+    held = cells.select("level", "cell", "part", "row_group").join(there, ["level", "cell"], "left").join(groups, ["level", "part", "row_group"], "left")
+    elsewhere = F.col("_named") & ((F.col("part") != F.col("_part")) | (F.col("row_group") != F.col("_group")))
+    said = F.when(F.col("_group").isNull(), F.lit("no row")).when(elsewhere, told("is in part %s, row group %s, not in %s, %s", "_part", "_group", "part", "row_group"))
+    return held.select("level", "cell", said.alias("said")).where("said is not null")
+
+
+def disagreements(held: DataFrame, named: DataFrame) -> DataFrame:
+    """level, cell, object_id, said: what only the cells (held), or only the object catalog (named) has."""
     key = ["level", "cell", "object_id"]
     bad = held.join(named, key, "left_anti").select(*key, F.lit("is not in the object catalog").alias("said"))
-    bad = bad.unionByName(named.join(held, key, "left_anti").select(*key, F.lit("is not in the cell").alias("said")))
-    out.append(violations("the two catalogs agree about who is in which cell", "blobs", bad, told("level %s cell %s: object %s %s", *key, "said")))
+    return bad.unionByName(named.join(held, key, "left_anti").select(*key, F.lit("is not in the cell").alias("said")))
+
+
+def blob_checks(c: Collection) -> list[Check]:
+    m = c.manifest
+    found = blob_problems(all_rows(c), m.cell_size, m.codec, m.compression).persist()
+    lost = lost_rows(c.cells(), c.placed())
+    both = found.unionByName(lost.select("level", "cell", F.lit("decode").alias("kind"), "said"))
+    out = [violations(name, "blobs", both.where(F.col("kind") == kind), told("level %s cell %s: %s", "level", "cell", "said")) for kind, name in BLOBS.items()]
+    found.unpersist()
+    held = all_rows(c).select("level", "cell", F.explode("object_ids").alias("object_id"))
+    out.append(violations(AGREE, "blobs", disagreements(held, c.object_cells()), told("level %s cell %s: object %s %s", "level", "cell", "object_id", "said")))
     return out
 
 
@@ -219,18 +251,31 @@ def blob_checks(c: Collection) -> list[Check]:
 
 
 def coarse_is_smaller(c: Collection) -> Check:
-    rows = c.cells().groupBy("level").agg((F.sum("index_count") / 3).alias("faces"))
+    return violations("a coarse level holds less than the level it summarises", "geometry", larger_levels(c.cells()), told("level %s: %s faces over %s", "level", "faces", "below"))
+
+
+def larger_levels(cells: DataFrame) -> DataFrame:
+    """level, faces, below: levels of more faces than the level below them."""
+    rows = cells.groupBy("level").agg(F.expr("sum(index_count) div 3").alias("faces"))
     below = rows.select((F.col("level") + 1).alias("level"), F.col("faces").alias("below"))
-    return violations("a coarse level holds less than the level it summarises", "geometry", rows.join(below, "level").where("faces > below"), told("level %s: %s faces over %s", "level", "faces", "below"))
+    return rows.join(below, "level").where("faces > below")
 
 
 def planes_held(c: Collection) -> Check:
-    """Vertices on a coarse cell's planes, both ways: in its children and in the cell itself.
+    both = moved_on_planes(c.decode(all_rows(c)), c.manifest.cell_size).persist()
+    seen = both.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = violations("on-plane vertices are held fixed across levels", "geometry", both.where("lost > 0 or new > 0"), told("level %s cell %s: %s lost, %s new", "level", "cell", "lost", "new"), seen)
+    both.unpersist()
+    return out
+
+
+def moved_on_planes(pieces: DataFrame, cell_size: tuple) -> DataFrame:
+    """level, cell, lost, new, n: vertices on a coarse cell's planes, in its children and in itself.
 
-    On a plane: to 1/65535 of a cell. The same place: within two of the coarse cell's steps, in voxels.
+    pieces: level, cell, v. On a plane: to 1/65535 of a cell. The same place: within two of the coarse
+    cell's steps, in voxels. `lost` are those of the children that the cell lacks, `new` the other way.
     """
-    m = c.manifest
-    rows = c.decode(all_rows(c)).select("level", "cell", "v")
+    rows = pieces.select("level", "cell", "v")
     coarse = rows.where("level > 0").groupBy("level", "cell").agg(F.collect_list("v").alias("own"))
     fine = rows.groupBy((F.col("level") + 1).alias("level"), morton.ancestor("cell", 1).alias("cell")).agg(F.collect_list("v").alias("below"))
 
@@ -238,17 +283,14 @@ def planes_held(c: Collection) -> Check:
         for batch in batches:
             out = []
             for level, cell, own, below in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                extent = tuple(s << level for s in m.cell_size)
+                extent = tuple(s << level for s in cell_size)
                 a, b = (np.concatenate([np.frombuffer(x, "<f8").reshape(-1, 3) for x in xs]) for xs in (own, below))
                 a, b = (x[mesh.on_planes(x, extent, 1 / geometry.STEPS)] for x in (a, b))
                 near = 2 * max(extent) / geometry.STEPS
                 out.append((level, cell, unmatched(b, a, near), unmatched(a, b, near), len(a) + len(b)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["level", "cell", "lost", "new", "n"]) if out else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["level", "cell", "lost", "new", "n"])
 
-    both = coarse.join(fine, ["level", "cell"]).select("level", "cell", "own", "below").mapInArrow(over, "level long, cell long, lost long, new long, n long").persist()
-    seen = both.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bad = both.where("lost > 0 or new > 0")
-    return violations("on-plane vertices are held fixed across levels", "geometry", bad, told("level %s cell %s: %s lost, %s new", "level", "cell", "lost", "new"), seen)
+    return coarse.join(fine, ["level", "cell"]).select("level", "cell", "own", "below").mapInArrow(over, "level long, cell long, lost long, new long, n long")
 
 
 def unmatched(a: np.ndarray, b: np.ndarray, near: float) -> int:
@@ -268,7 +310,17 @@ def unmatched(a: np.ndarray, b: np.ndarray, near: float) -> int:
 
 def errors_bound(c: Collection) -> Check:
     """No coarse vertex lies further from its object's level-0 surface than its cells' lod_error says."""
-    rows = c.decode(all_rows(c)).join(c.cells().select("level", "cell", "lod_error"), ["level", "cell"])
+    moved = displacements(c.decode(all_rows(c)).join(c.cells().select("level", "cell", "lod_error"), ["level", "cell"])).persist()
+    out = violations("lod_error bounds how far a vertex moved from level 0", "geometry", moved.where("moved > budget"), told("object %s level %s: %s over %s", "object_id", "level", "moved", "budget"), moved.count())
+    moved.unpersist()
+    return out
+
+
+def displacements(pieces: DataFrame) -> DataFrame:
+    """object_id, level, moved, budget: how far each object's coarse vertices lie from its level-0 surface.
+
+    pieces: object_id, level, v, f, lod_error.
+    """
 
     def over(key: tuple, table: pa.Table) -> pa.Table:
         byl: dict[int, list] = {}
@@ -284,8 +336,7 @@ def errors_bound(c: Collection) -> Check:
         cols = list(zip(*out)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.float64()))], names=["object_id", "level", "moved", "budget"])
 
-    moved = rows.select("object_id", "level", "v", "f", "lod_error").groupBy("object_id").applyInArrow(over, "object_id long, level int, moved double, budget double").persist()
-    return violations("lod_error bounds how far a vertex moved from level 0", "geometry", moved.where("moved > budget"), told("object %s level %s: %s over %s", "object_id", "level", "moved", "budget"), moved.count())
+    return pieces.select("object_id", "level", "v", "f", "lod_error").groupBy("object_id").applyInArrow(over, "object_id long, level int, moved double, budget double")
 
 
 STRUCTURE: list[Callable[[Collection], Check]] = [files_exist, lengths_are_right, levels_contiguous, masks_name_children, parents_dominate, all_located, locators_in_range, ordinals_dense, objects_name_cells]

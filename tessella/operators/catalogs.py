@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,26 @@ def full_catalog(cells: DataFrame, cell_size: tuple, levels: int) -> DataFrame:
     return out.withColumn("child_mask", F.coalesce("child_mask", F.lit(0)))
 
 
-def ordinals(ids: DataFrame) -> DataFrame:
+def ordinals(ids: DataFrame, ranges: int = 1024) -> DataFrame:
     """object_id, ordinal: 0 .. n - 1 in ascending order of id, without a global sort in one task.
 
-    Ids are dealt by hash bucket of their range; bucket sizes (a bounded table) give the offsets.
+    Ids are dealt by ranges that hold about equally many of them, however they are spread; the
+    ranges' sizes (a bounded table) give the offsets.
     """
     ids = ids.select("object_id").distinct()
-    lo, hi = ids.agg(F.min("object_id"), F.max("object_id")).first()
-    if lo is None:
+    shares = [i / ranges for i in range(1, ranges)]
+    limits = ids.agg(F.percentile_approx("object_id", shares, 10 * ranges)).first()[0]
+    if limits is None:
         return ids.withColumn("ordinal", F.lit(0))
-    width = max(1, -(-(hi - lo + 1) // 1024))
-    rows = ids.withColumn("_b", F.floor((F.col("object_id") - lo) / width).cast("int"))
-    sizes = {r["_b"]: r["count"] for r in rows.groupBy("_b").count().collect()}  # 1024 rows at most
+    rows = ids.withColumn("_range", morton.count_upto(sorted(set(limits)), F.col("object_id")))
+    sizes = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # a row a range
     starts, at = [], 0
-    for b in sorted(sizes):
-        starts.append((b, at))
-        at += sizes[b]
-    start = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("object_id")) - 1
-    return rows.select("object_id", (start[F.col("_b")] + own).cast("int").alias("ordinal"))
+    for b in range(max(sizes) + 1):
+        starts.append(at)
+        at += sizes.get(b, 0)
+    start = F.lit(np.array(starts, np.int64))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("object_id")) - 1
+    return rows.select("object_id", (F.element_at(start, F.col("_range") + 1) + own).cast("int").alias("ordinal"))
 
 
 def object_catalog(points: DataFrame, cell_size: tuple, levels: int) -> DataFrame:
@@ -103,6 +105,11 @@ def object_catalog(points: DataFrame, cell_size: tuple, levels: int) -> DataFram
     return whole.join(lists, "object_id").join(ordinals(points), "object_id")
 
 
+def cells_of(owned: DataFrame, cells: DataFrame) -> DataFrame:
+    """object_id and the catalog's rows of owned cells (object_id, level, cell); keys the catalog lacks are left out."""
+    return owned.select("object_id", "level", "cell").join(cells, ["level", "cell"])
+
+
 def choose_cell_size(spans: DataFrame, least: int = 8) -> tuple[int, int, int]:
     """A cell size for objects (object_id, lo and hi bounds): the power of two at or over twice the
     90th percentile of their extents, at least `least`, at most the scene's own power of two.

@@ -327,9 +327,15 @@ def per_piece(of_vertex: np.ndarray, of_face: np.ndarray, n: int) -> Iterator[tu
         yield slice(v[k], v[k + 1]), slice(f[k], f[k + 1])
 
 
+def lost(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Mask of the positions that do not stand among those afterwards, exactly."""
+    held = {r.tobytes() for r in after + 0.0}
+    return np.array([r.tobytes() not in held for r in before + 0.0], bool)
+
+
 def survive(before: np.ndarray, after: np.ndarray) -> bool:
     """Whether each position stands among those afterwards, exactly."""
-    return {r.tobytes() for r in before + 0.0} <= {r.tobytes() for r in after + 0.0}
+    return not lost(before, after).any()
 
 
 class Greedy:
@@ -385,16 +391,22 @@ def relax(v: np.ndarray, f: np.ndarray, fixed: np.ndarray, target: int, how: obj
     return v, f, 0.0, True
 
 
+def nearest_faces(points: np.ndarray, triangles: np.ndarray, k: int) -> np.ndarray:
+    """For each point the k triangles with the nearest centres, nearest first, ties to the first."""
+    d = ((points[:, None, :] - (triangles[:, 0] + triangles[:, 1] + triangles[:, 2])[None] / 3) ** 2).sum(axis=2)
+    k = min(k, d.shape[1])
+    if 4 * k < d.shape[1]:  # only what may be among them is sorted
+        least = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        d = np.where(d <= least, d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
 def surface_distance(points: np.ndarray, triangles: np.ndarray, k: int = 32) -> float:
     """Largest distance of a point to a surface, over the k triangles with the nearest centres of each."""
-    if not len(points) or not len(triangles):
-        return 0.0
-    centres, worst = triangles.mean(axis=1), 0.0
-    for lo in range(0, len(points), 512):
+    worst = 0.0
+    for lo in range(0, len(points) if len(triangles) else 0, 512):
         p = points[lo : lo + 512]
-        d = ((p[:, None, :] - centres[None]) ** 2).sum(axis=2)
-        near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-        worst = max(worst, float(point_triangles(p, triangles[near]).min(axis=1).max()))
+        worst = max(worst, float(point_triangles(p, triangles[nearest_faces(p, triangles, k)]).min(axis=1).max()))
     return worst**0.5
 
 

@@ -21,6 +21,7 @@ from tessella.errors import FormatError, PartitioningError
 from tessella.functions import geometry, morton
 from tessella.functions.blobs import check_encoding
 from tessella.operators import catalogs, mesh
+from tessella.operators.codecs import codec_for
 from tessella.operators.runs import changes, whole_runs
 
 MAX_OBJECTS = 1 << 24
@@ -140,7 +141,7 @@ GEOMETRY = "level int, cell long, positions binary, indices binary, vertex_count
 STATS = ", ".join(f"{b} double" for b in catalogs.BOUNDS) + ", displacement double"
 
 
-def assemble(built: DataFrame, cell_size: tuple, compression: str = "NONE") -> DataFrame:
+def assemble(built: DataFrame, cell_size: tuple, codec: str = "NONE", compression: str = "NONE") -> DataFrame:
     """Geometry rows with bounds and displacement: the pieces of a cell, object ids ascending.
 
     built: pieces and ordinal. Positions are quantised in the cell's box; indices count through the cell.
@@ -157,9 +158,8 @@ def assemble(built: DataFrame, cell_size: tuple, compression: str = "NONE") -> D
         starts, ends = (np.cumsum([0, *(step * len(x) for x in xs)]) for xs, step in ((vs, 1), (fs, 3)))
         v = np.concatenate(vs)
         f = np.concatenate([x.astype(np.int64) + s for x, s in zip(fs, starts)])
-        positions, indices = encode_positions(v, cell, level, cell_size).tobytes(), f.astype("<u4").tobytes()
-        if compression == "ZSTD":
-            positions, indices = (pa.compress(b, "zstd", asbytes=True) for b in (positions, indices))
+        packer = codec_for(codec)
+        positions, indices = packer.encode_positions(encode_positions(v, cell, level, cell_size), compression), packer.encode_indices(f, len(v), compression)
         low, high = (v.min(axis=0), v.max(axis=0)) if len(v) else (np.zeros(3), np.zeros(3))
         return (level, cell, positions, indices, len(v), 3 * len(f), list(ids), list(numbers), starts[:-1].tolist(), ends[:-1].tolist(), *low, *high, max(displacement))
 
@@ -192,18 +192,49 @@ def encode_positions(v: np.ndarray, cell: int, level: int, cell_size: tuple) ->
     return np.rint(np.clip(t, 0, 1) * geometry.STEPS).astype("<u2")
 
 
-def decode_cell(positions: bytes, indices: bytes, cell: int, level: int, cell_size: tuple, n: int, m: int, compression: str = "NONE") -> tuple[np.ndarray, np.ndarray]:
+def decode_cell(positions: bytes, indices: bytes, cell: int, level: int, cell_size: tuple, n: int, m: int, codec: str = "NONE", compression: str = "NONE") -> tuple[np.ndarray, np.ndarray]:
     """Vertices and faces of a cell; blobs that are not as long as their counts say are an error."""
+    packer = codec_for(codec)
     try:
-        if compression == "ZSTD":
-            positions, indices = pa.decompress(positions, 6 * n, "zstd", asbytes=True), pa.decompress(indices, 4 * m, "zstd", asbytes=True)
-    except Exception as e:
+        q, f = packer.decode_positions(positions, n, compression), packer.decode_indices(indices, m, compression)
+    except FormatError as e:
         raise FormatError(f"cell {cell} at level {level}: {e}") from e
-    if len(positions) != 6 * n or len(indices) != 4 * m or m % 3:
-        raise FormatError(f"cell {cell} at level {level}: blobs of {len(positions)} and {len(indices)} bytes for {n} vertices and {m} indices")
     origin, extent = cell_origin(cell, level, cell_size)
-    v = origin + np.frombuffer(positions, "<u2").reshape(-1, 3) / geometry.STEPS * extent
-    return v, np.frombuffer(indices, "<u4").astype(np.int64).reshape(-1, 3)
+    return origin + q / geometry.STEPS * extent, f.astype(np.int64)
+
+
+DECODED = "level int, cell long, object_id long, vertex_count int, face_count int, v binary, f binary"
+BLOB_COLUMNS = ["level", "cell", "positions", "indices", "vertex_count", "index_count", "object_ids", "object_ordinals", "object_vertex_offsets", "object_index_offsets"]
+
+
+def refuse_nulls(table: pa.Table | pa.RecordBatch, what: str) -> None:
+    for name in table.schema.names:
+        if table.column(name).null_count:
+            raise FormatError(f"{what} holds a null in column {name}, which may have none")
+
+
+def decode_rows(rows: DataFrame, cell_size: tuple, codec: str = "NONE", compression: str = "NONE") -> DataFrame:
+    """One row a (level, cell, object) of geometry rows: its vertices (float64) and faces (int32, from 0)."""
+    names = [n.split()[0] for n in DECODED.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refuse_nulls(batch, "geometry")
+            for r in pa.Table.from_batches([batch]).to_pylist():
+                v, f = decode_cell(r["positions"], r["indices"], r["cell"], r["level"], cell_size, r["vertex_count"], r["index_count"], codec, compression)
+                out = [(r["level"], r["cell"], o, len(x), len(y), x.astype("<f8").tobytes(), y.astype("<i4").tobytes()) for o, x, y in slices(v, f, r["object_ids"], r["object_vertex_offsets"], r["object_index_offsets"])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return rows.select(BLOB_COLUMNS).mapInArrow(over, DECODED)
+
+
+def slices(v: np.ndarray, f: np.ndarray, ids: list[int], vertex_offsets: list[int], index_offsets: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(object, vertices, faces from 0) of a cell: a slice ends where the next begins, or with the cell."""
+    starts, ends = [*vertex_offsets, len(v)], [*(x // 3 for x in index_offsets), len(f)]
+    for i, o in enumerate(ids):
+        yield o, v[starts[i] : starts[i + 1]], f[ends[i] : ends[i + 1]] - starts[i]
 
 
 @dataclass
@@ -220,6 +251,17 @@ class Built:
     codec: str
     compression: str
 
+    def write(self, prefix: str, **how) -> object:
+        """Writes the collection under a prefix; its manifest."""
+        from tessella.sources import store
+
+        return store.write_collection(self, prefix, **how)
+
+    def release(self) -> None:
+        """Lets go of the frames that the build keeps; they are made anew where they are used again."""
+        self.geometry.unpersist()
+        self.pieces.unpersist()
+
     def faces_per_level(self) -> DataFrame:
         """level, faces, cells, and the ratio to the level below."""
         rows = self.cells.groupBy("level").agg(F.sum(F.expr("index_count div 3")).alias("faces"), F.count("*").alias("cells"))
@@ -246,7 +288,7 @@ def build(triangles: DataFrame, cell_size: tuple | None = None, levels: int = 3,
         raise FormatError(f"more than {MAX_OBJECTS} objects")
     fragments = snapped(clip_to_cells(triangles, cell_size), cell_size, levels)
     made = pieces(fragments, cell_size, levels, decimation, how).persist()
-    frame = assemble(made.join(ordinals, "object_id"), cell_size, compression).persist()
+    frame = assemble(made.join(ordinals, "object_id"), cell_size, codec, compression).persist()
     stats = frame.select("level", "cell", "vertex_count", "index_count", *catalogs.BOUNDS, "displacement", F.size("object_ids").alias("object_count"), (F.octet_length("positions") + F.octet_length("indices")).cast("long").alias("blob_bytes"))
     cells = catalogs.full_catalog(stats, cell_size, levels).drop("displacement")
     out = Built(frame, cells, objects(made, ordinals), made, cell_size, levels, decimation, codec, compression)

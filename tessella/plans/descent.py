@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry, morton
 from tessella.operators.catalogs import high, low
+from tessella.sources.scratch import cut
 
 
 def with_flags(cells: DataFrame, camera: geometry.Camera | None, pixel_budget: float, error_budget: float | None, box: tuple | None, frustum: list | None, allowed: DataFrame | None, min_level: int) -> DataFrame:
@@ -65,7 +66,9 @@ def plan(cells: DataFrame, levels: int, *, camera: geometry.Camera | None = None
     flagged = flagged.withColumn("opens", ~F.col("good") & (F.col("children") > 0))
     reached = flagged.where(F.col("level") == levels - 1)
     if max_cells is not None:
-        return capped(flagged, reached, levels, max_cells).select(columns).orderBy(F.desc("level"), "cell")
+        # Several jobs read the wanted cells: they are found once.
+        flagged = cut(flagged, "wanted")
+        return capped(flagged, flagged.where(F.col("level") == levels - 1), levels, max_cells).select(columns).orderBy(F.desc("level"), "cell")
     taken = []
     for level in range(levels - 1, -1, -1):
         taken.append(reached.where(~F.col("opens")))
@@ -106,9 +109,9 @@ def capped(flagged: DataFrame, roots: DataFrame, levels: int, most: int) -> Data
                     keep.append(opens), totals.append(total)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.bool_()), pa.array(totals, pa.int64())], names=["cell", "goes", "total"])
 
-        folded = rows.mapInArrow(fold, "cell long, goes boolean, total long").cache()
+        folded = cut(rows.mapInArrow(fold, "cell long, goes boolean, total long"), "folded")  # as many as the bound, about
         total = folded.agg(F.max("total")).first()[0] or total
-        marked = reached.join(folded.select("cell", "goes"), "cell")
+        marked = cut(reached.join(folded.select("cell", "goes"), "cell"), "marked")
         taken = marked.where("not goes").drop("goes")
         out = taken if out is None else out.unionByName(taken)
         if level:

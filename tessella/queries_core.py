@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import blobs, geometry, morton
 from tessella.functions import oracles as O  # noqa: N812
-from tessella.operators import catalogs
+from tessella.operators import audit, catalogs, mesh, pyramid
+from tessella.operators.runs import changes, whole_runs
 from tessella.plans import descent
-from tessella.sources import scenes
+from tessella.sources import scenes, store
 from tessella.sources.scenes import CELL_SIZE, LEVELS
 
 QUERIES: dict = {}
@@ -261,64 +266,101 @@ def lod_error_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_catalog(spark, sf_dir).select("level", "cell", "lod_error")
 
 
-def offsets(rows: DataFrame, n: str, name: str) -> DataFrame:
-    """Exclusive running sums within a cell, object ids ascending."""
-    before = Window.partitionBy("level", "cell").orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum(n).over(before), F.lit(0)))
+def per_object(rows: DataFrame, order: str, give: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """What `give` makes of each object's rows, in this order: columns by name, beside object_id."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["object_id"]):
+            cuts = [0, *changes(table, ["object_id"]).tolist(), table.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = table.slice(lo, hi - lo)
+                got = give(own)
+                n = len(next(iter(got.values())))
+                cols = [own["object_id"].to_pylist()[:1] * n if name == "object_id" else got[name] for name, _ in fields]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[f[0] for f in fields])
+
+    return rows.repartition("object_id").sortWithinPartitions("object_id", order).mapInArrow(over, schema)
+
+
+def numbers(table: pa.Table, *names: str) -> np.ndarray:
+    return np.stack([table[n].to_numpy() for n in names], axis=1)
+
+
+def triangles_of(table: pa.Table) -> np.ndarray:
+    return numbers(table, *pyramid.CORNERS).reshape(-1, 3, 3)
 
 
-def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_bytes(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with the column v, an array of (x, y, z), as the bytes of its doubles."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("v")
+            v = [np.array([[p["x"], p["y"], p["z"]] for p in x], "<f8").tobytes() for x in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "v", pa.array(v, pa.binary()))
+
+    return rows.mapInArrow(over, schema)
+
+
+def point_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of each (level, cell, object) as pieces of as many vertices and faces."""
     rows = catalogs.at_levels(catalogs.with_cells(scenes.points(spark, sf_dir), CELL_SIZE), LEVELS)
-    return rows.groupBy("level", "cell", "object_id").agg(F.count("*").alias("n"))
+    rows = rows.groupBy("level", "cell", "object_id").agg(F.sort_array(F.collect_list(F.struct(*XYZ))).alias("v"))
+    f = F.unhex(F.repeat(F.lit("00" * 12), F.size("v")))
+    rows = rows.select("level", "cell", "object_id", "v", f.alias("f"), F.lit(0.0).alias("displacement"), F.lit(0).alias("ordinal"))
+    return as_bytes(rows, "level int, cell long, object_id long, v binary, f binary, displacement double, ordinal int")
 
 
 RUNNING = f"""WITH {O.POINTS}, {O.CELLS}, g AS (SELECT level, cell, object_id, count(*) AS n FROM pl GROUP BY 1, 2, 3),
-s AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY level, cell ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ FROM g)"""
+s AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY level, cell ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_ FROM g)"""
+
+
+def assembled_offsets(spark: SparkSession, sf_dir: str, column: str, name: str) -> DataFrame:
+    rows = pyramid.assemble(point_pieces(spark, sf_dir), CELL_SIZE)
+    zipped = F.explode(F.arrays_zip("object_ids", column)).alias("z")
+    return rows.select("level", "cell", zipped).select("level", "cell", F.col("z.object_ids").alias("object_id"), F.col(f"z.{column}").alias(name))
 
 
 @query(RUNNING + " SELECT level, cell, object_id, start_ AS vertex_offset FROM s")
 def vertex_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets(pieces(spark, sf_dir), "n", "vertex_offset").select("level", "cell", "object_id", "vertex_offset")
+    return assembled_offsets(spark, sf_dir, "object_vertex_offsets", "vertex_offset")
 
 
-@query(RUNNING.replace("count(*) AS n FROM pl", "3 * (count(*) // 2) AS n FROM pl") + " SELECT level, cell, object_id, start_ AS index_offset FROM s")
+@query(RUNNING + " SELECT level, cell, object_id, 3 * start_ AS index_offset FROM s")
 def index_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pieces(spark, sf_dir).withColumn("n", 3 * F.expr("n div 2"))
-    return offsets(rows, "n", "index_offset").select("level", "cell", "object_id", "index_offset")
+    return assembled_offsets(spark, sf_dir, "object_index_offsets", "index_offset")
 
 
-@query(RUNNING + " SELECT level, cell, object_id, start_, start_ + n AS end_ FROM s")
+@query(RUNNING + " SELECT level, cell, object_id, CAST(n AS INTEGER) AS vertex_count, CAST(n AS INTEGER) AS face_count FROM s")
 def object_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where an object's slice of a cell ends: at the next one's start, or the cell's total."""
-    rows = offsets(pieces(spark, sf_dir), "n", "start_")
-    cell = Window.partitionBy("level", "cell")
-    end = F.coalesce(F.lead("start_").over(cell.orderBy("object_id")), F.sum("n").over(cell))
-    return rows.select("level", "cell", "object_id", "start_", end.alias("end_"))
+    """What each object's slice of a cell holds: it ends at the next one's start, or with the cell."""
+    rows = pyramid.assemble(point_pieces(spark, sf_dir), CELL_SIZE)
+    return pyramid.decode_rows(rows, CELL_SIZE).select("level", "cell", "object_id", "vertex_count", "face_count")
 
 
 @query(f"""WITH {O.BOXES}, {O.FACES}, e AS (SELECT DISTINCT object_id, least(s, t) AS a, greatest(s, t) AS b FROM (SELECT object_id, unnest([a, b, c]) AS s, unnest([b, c, a]) AS t FROM f))
 SELECT e.object_id, CAST(e.a AS INTEGER) AS a, CAST(e.b AS INTEGER) AS b, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS length
 FROM e JOIN v p ON p.object_id = e.object_id AND p.vid = e.a JOIN v q ON q.object_id = e.object_id AND q.vid = e.b""")
 def edge_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = face_edges(scenes.box_faces(spark, sf_dir)).select("object_id", "a", "b").distinct()
+    def give(own: pa.Table) -> dict:
+        edges, _ = mesh.edges_of(numbers(own, "a", "b", "c"))
+        return {"a": edges[:, 0], "b": edges[:, 1]}
+
+    edges = per_object(scenes.box_faces(spark, sf_dir), "fid", give, "object_id long, a int, b int")
     v = scenes.box_vertices(spark, sf_dir)
     ends = edges.join(v.toDF("object_id", "a", "px", "py", "pz"), ["object_id", "a"]).join(v.toDF("object_id", "b", "qx", "qy", "qz"), ["object_id", "b"])
     d = [F.col(f"q{a}") - F.col(f"p{a}") for a in XYZ]
     return ends.select("object_id", "a", "b", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("length"))
 
 
-def face_edges(faces: DataFrame) -> DataFrame:
-    """object_id, a < b of the three sides of each face."""
-    sides = F.array(*[F.struct(F.least(s, t).alias("a"), F.greatest(s, t).alias("b")) for s, t in (("a", "b"), ("b", "c"), ("c", "a"))])
-    return faces.select("object_id", F.explode(sides).alias("e")).select("object_id", "e.a", "e.b")
-
-
 @query(f"""WITH {O.BOXES}, {O.FACES}, e AS (SELECT object_id, least(s, t) AS a, greatest(s, t) AS b FROM (SELECT object_id, unnest([a, b, c]) AS s, unnest([b, c, a]) AS t FROM f WHERE fid NOT IN (10, 11)) GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT DISTINCT object_id, CAST(unnest([a, b]) AS INTEGER) AS vid FROM e""")
 def border_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of edges with one face, of boxes without their lid."""
-    edges = face_edges(scenes.box_faces(spark, sf_dir).where("fid < 10")).groupBy("object_id", "a", "b").agg(F.count("*").alias("n"))
-    return edges.where("n = 1").select("object_id", F.explode(F.array("a", "b")).alias("vid")).distinct()
+    lidless = scenes.box_faces(spark, sf_dir).where("fid < 10")
+    return per_object(lidless, "fid", lambda own: {"vid": np.flatnonzero(mesh.border(numbers(own, "a", "b", "c"), 8))}, "object_id long, vid int")
 
 
 @query(f"""WITH {O.BOXES}, {O.FACES}, s AS (SELECT object_id, unnest([3 * fid, 3 * fid + 1, 3 * fid + 2]) AS pos, unnest([ax, bx, cx]) AS x, unnest([ay, by_, cy]) AS y, unnest([az, bz, cz]) AS z FROM tri),
@@ -326,11 +368,12 @@ w AS (SELECT object_id, min(pos) AS first_pos, round(x, 9) AS x, round(y, 9) AS
 SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY first_pos) - 1 AS INTEGER) AS vid, x, y, z FROM w""")
 def weld_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal positions to 9 decimals become one vertex, numbered by first appearance."""
-    spots = F.array(*[F.struct((3 * F.col("fid") + n).alias("pos"), *[F.col(f"{p}{a}").alias(a) for a in XYZ]) for n, p in enumerate("abc")])
-    rows = scenes.box_triangles(spark, sf_dir).select("object_id", F.explode(spots).alias("s")).select("object_id", "s.*")
-    one = rows.groupBy("object_id", *[F.round(a, 9).alias(f"_{a}") for a in XYZ]).agg(F.min(F.struct("pos", *XYZ)).alias("s"))
-    own = Window.partitionBy("object_id").orderBy("s.pos")
-    return one.select("object_id", (F.row_number().over(own) - 1).alias("vid"), "s.x", "s.y", "s.z")
+
+    def give(own: pa.Table) -> dict:
+        v, _ = mesh.weld(triangles_of(own))
+        return {"vid": np.arange(len(v)), "x": v[:, 0], "y": v[:, 1], "z": v[:, 2]}
+
+    return per_object(scenes.box_triangles(spark, sf_dir), "fid", give, "object_id long, vid int, x double, y double, z double")
 
 
 def planned(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
@@ -372,7 +415,20 @@ def plan_min_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir, min_level=1)
 
 
-@query()
+def fold(level: int, start: str) -> str:
+    """The ordered pass over the frontier r<level>: a cell is opened while the total stays within the bound."""
+    fits = "n > 0 AND total - 1 + n <= 100"
+    return f"""f{level}(r, total, goes) AS (SELECT CAST(0 AS BIGINT), {start}, FALSE UNION ALL
+    SELECT r{level}.r, CASE WHEN {fits} THEN total + n - 1 ELSE total END, {fits} FROM f{level} JOIN r{level} ON r{level}.r = f{level}.r + 1),
+g{level} AS (SELECT cell, goes FROM f{level} JOIN r{level} USING (r))"""
+
+
+@query(f"""WITH RECURSIVE {O.POINTS}, {O.CELLS}, w AS (SELECT level, cell, level <= 0 OR lod_error <= 2.5 AS good FROM full_),
+kids AS (SELECT level + 1 AS level, cell >> 3 AS cell, count(*) AS n FROM w GROUP BY 1, 2),
+o AS (SELECT w.level, w.cell, CASE WHEN good THEN 0 ELSE coalesce(kids.n, 0) END AS n FROM w LEFT JOIN kids USING (level, cell)),
+r2 AS (SELECT cell, n, row_number() OVER (ORDER BY cell) AS r FROM o WHERE level = 2), {fold(2, "(SELECT count(*) FROM r2)")},
+r1 AS (SELECT cell, n, row_number() OVER (ORDER BY cell) AS r FROM o WHERE level = 1 AND cell >> 3 IN (SELECT cell FROM g2 WHERE goes)), {fold(1, "(SELECT arg_max(total, r) FROM f2)")}
+SELECT 2 AS level, cell FROM g2 WHERE NOT goes UNION ALL SELECT 1, cell FROM g1 WHERE NOT goes UNION ALL SELECT 0, cell FROM o WHERE level = 0 AND cell >> 3 IN (SELECT cell FROM g1 WHERE goes)""")
 def plan_max_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir, max_cells=100, error_budget=2.5)
 
@@ -387,21 +443,21 @@ def plan_cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_for_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects' cells with the catalog's rows; keys the catalog lacks are left out."""
     cells = catalogs.cell_catalog(scenes.points(spark, sf_dir), CELL_SIZE, LEVELS).where("vertex_count % 7 <> 0")
-    return object_cells(spark, sf_dir).where("object_id IN (2, 3, 5)").join(cells, ["level", "cell"]).select("object_id", "level", "cell", "vertex_count")
+    return catalogs.cells_of(object_cells(spark, sf_dir).where("object_id IN (2, 3, 5)"), cells).select("object_id", "level", "cell", "vertex_count")
 
 
 @query(f"WITH {O.POINTS}, {O.CELLS} SELECT DISTINCT pl.object_id, pl.level, pl.cell FROM pl JOIN cat USING (level, cell) WHERE cat.vertex_count % 7 = 0")
 def dangling_object_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = catalogs.cell_catalog(scenes.points(spark, sf_dir), CELL_SIZE, LEVELS).where("vertex_count % 7 <> 0")
-    return object_cells(spark, sf_dir).join(cells, ["level", "cell"], "left_anti").select("object_id", "level", "cell")
+    return audit.dangling(object_cells(spark, sf_dir), cells)
 
 
 @query(f"WITH {O.POINTS}, {O.CELLS} SELECT level, cell, CASE WHEN cell % 3 <> 0 THEN CAST(cell % 4 AS INTEGER) END AS part, CASE WHEN cell % 3 <> 0 THEN CAST(cell % 11 AS INTEGER) END AS row_group FROM cat")
 def locator_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and where they were written; one that was not stays null."""
     cells = catalogs.cell_catalog(scenes.points(spark, sf_dir), CELL_SIZE, LEVELS).select("level", "cell")
-    places = cells.where("cell % 3 <> 0").selectExpr("level", "cell", "CAST(cell % 4 AS INT) AS part", "CAST(cell % 11 AS INT) AS row_group")
-    return cells.join(places, ["level", "cell"], "left")
+    places = cells.where("cell % 3 <> 0").selectExpr("level", "cell", "CAST(cell % 4 AS INT) AS part", "CAST(cell % 11 AS INT) AS row_group", "0L AS blob_bytes")
+    return store.with_locators(cells, places).drop("blob_bytes")
 
 
 DEVIATION = f"""WITH {O.BOXES}, k AS (SELECT * FROM v WHERE vid % 3 <> 0)"""
@@ -410,20 +466,23 @@ DEVIATION = f"""WITH {O.BOXES}, k AS (SELECT * FROM v WHERE vid % 3 <> 0)"""
 @query(DEVIATION + " SELECT v.object_id, max(d) AS deviation FROM (SELECT v.object_id, v.vid, min(sqrt((v.x - k.x) * (v.x - k.x) + (v.y - k.y) * (v.y - k.y) + (v.z - k.z) * (v.z - k.z))) AS d FROM v JOIN k ON k.object_id = v.object_id GROUP BY 1, 2) v GROUP BY 1")
 def nearest_vertex_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest distance of an object's vertices to the nearest that survived."""
-    v = scenes.box_vertices(spark, sf_dir)
-    kept = v.where("vid % 3 <> 0").groupBy("object_id").agg(F.collect_list(F.struct(*XYZ)).alias("kept"))
-    def gap(k):
-        d = [F.col(a) - k[a] for a in XYZ]
-        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    near = v.join(kept, "object_id").select("object_id", F.array_min(F.transform("kept", gap)).alias("d"))
-    return near.groupBy("object_id").agg(F.max("d").alias("deviation"))
+
+    def give(own: pa.Table) -> dict:
+        v = numbers(own, *XYZ)
+        return {"deviation": [mesh.deviation(v, v[own["vid"].to_numpy() % 3 != 0])]}
+
+    return per_object(scenes.box_vertices(spark, sf_dir), "vid", give, "object_id long, deviation double")
 
 
 @query(DEVIATION + " SELECT object_id, vid FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.object_id = v.object_id AND k.x = v.x AND k.y = v.y AND k.z = v.z)")
 def surviving_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices that no vertex equals afterwards: a fixed one among them would break a seam."""
-    v = scenes.box_vertices(spark, sf_dir)
-    return v.join(v.where("vid % 3 <> 0").drop("vid"), ["object_id", *XYZ], "left_anti").select("object_id", "vid")
+
+    def give(own: pa.Table) -> dict:
+        v, vid = numbers(own, *XYZ), own["vid"].to_numpy()
+        return {"vid": vid[mesh.lost(v, v[vid % 3 != 0])]}
+
+    return per_object(scenes.box_vertices(spark, sf_dir), "vid", give, "object_id long, vid int")
 
 
 CENTRES = f"""WITH {O.BOXES}, {O.FACES}, n AS (SELECT t.object_id, v.vid, t.fid, t.ax, t.ay, t.az, t.bx, t.by_, t.bz, t.cx, t.cy, t.cz, v.x, v.y, v.z,
@@ -434,11 +493,14 @@ FROM tri t JOIN v ON v.object_id = t.object_id)"""
 @query(CENTRES + ", r AS (SELECT object_id, vid, fid, row_number() OVER (PARTITION BY object_id, vid ORDER BY d, fid) AS n FROM n) SELECT object_id, vid, fid FROM r WHERE n <= 4")
 def knn_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four faces with the nearest centres, for each vertex of an object."""
-    v, t = scenes.box_vertices(spark, sf_dir), scenes.box_triangles(spark, sf_dir)
-    d = [(F.col(f"a{a}") + F.col(f"b{a}") + F.col(f"c{a}")) / 3 - F.col(a) for a in XYZ]
-    rows = v.join(t, "object_id").withColumn("d", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    own = Window.partitionBy("object_id", "vid").orderBy("d", "fid")
-    return rows.withColumn("n", F.row_number().over(own)).where("n <= 4").select("object_id", "vid", "fid")
+    spots = scenes.box_vertices(spark, sf_dir).groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("vid", *XYZ))).alias("spots"))
+
+    def give(own: pa.Table) -> dict:
+        p = np.array([[s[a] for a in XYZ] for s in own["spots"][0].as_py()])
+        near = mesh.nearest_faces(p, triangles_of(own), 4)
+        return {"vid": np.repeat(np.arange(len(p)), near.shape[1]), "fid": own["fid"].to_numpy()[near].ravel()}
+
+    return per_object(scenes.box_triangles(spark, sf_dir).join(spots, "object_id"), "fid", give, "object_id long, vid int, fid int")
 
 
 @query(f"WITH {O.BOXES}, q AS (SELECT object_id, cx + ex AS px, cy + 0.25 * ey AS py, cz - 0.125 * ez AS pz FROM b) SELECT object_id, px - (cx + 0.5 * ex) AS distance FROM q JOIN b USING (object_id)")

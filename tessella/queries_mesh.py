@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import geometry
+from tessella.functions import blobs, geometry
 from tessella.functions import oracles as O  # noqa: N812
-from tessella.operators import audit, mesh, pyramid
-from tessella.queries_core import BOX_POINTS, XYZ, point_catalog
-from tessella.sources import files, scenes, store
+from tessella.operators import audit, catalogs, mesh, pyramid
+from tessella.queries_core import BOX_POINTS, XYZ, as_bytes, object_cells, per_object, point_catalog, triangles_of
+from tessella.sources import obj, scenes, store
 from tessella.sources.scenes import CELL_SIZE, LEVELS
+from tessella.sources.scratch import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,13 +58,22 @@ def clip_box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("object_id").agg(F.countDistinct("cell").alias("cells"))
 
 
+SURFACE = f"""{O.BOXES}, reach AS (SELECT object_id, {', '.join(span(a, s) for a, s in zip(XYZ, CELL_SIZE))} FROM v GROUP BY object_id),
+ri AS (SELECT *, unnest(range(lx, hx + 1)) AS i FROM reach), rj AS (SELECT *, unnest(range(ly, hy + 1)) AS j FROM ri), rk AS (SELECT *, unnest(range(lz, hz + 1)) AS k FROM rj),
+surface AS (SELECT object_id, {O.morton('i', 'j', 'k')} AS cell FROM rk WHERE i IN (lx, hx) OR j IN (ly, hy) OR k IN (lz, hz)),
+held AS (SELECT DISTINCT object_id, CAST(level AS INTEGER) AS level, cell >> (3 * level) AS cell FROM surface, (SELECT unnest([0, 1, 2]) AS level))"""
+
+
 def built(spark: SparkSession, sf_dir: str, **how) -> pyramid.Built:
     return pyramid.build(scenes.box_triangles(spark, sf_dir), CELL_SIZE, LEVELS, warn=False, **how)
 
 
-@query()
+@query(f"WITH {SURFACE} SELECT level, count(DISTINCT cell) AS cells, count(*) AS pieces, level > 0 AS fewer_faces FROM held GROUP BY level")
 def pyramid_faces_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).faces_per_level().select("level", "faces", "cells")
+    """Cells and pieces of each level, and whether it holds fewer faces than the level below."""
+    b = built(spark, sf_dir)
+    pieces = b.pieces.where(F.octet_length("f") > 0).groupBy("level").agg(F.count("*").alias("pieces"))
+    return b.faces_per_level().join(pieces, "level").select("level", "cells", "pieces", F.coalesce(F.col("ratio") < 1, F.lit(False)).alias("fewer_faces"))
 
 
 @query()
@@ -81,20 +87,25 @@ def locked_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).pieces.where("level > 0").groupBy("level").agg(F.count("*").alias("pieces"), F.count_if("at_floor").alias("at_floor"), F.sum("pinned").alias("pinned"))
 
 
+LONE = "ex <> ey AND ey <> ez AND ex <> ez"  # boxes with one shortest side
+
+
 def simplified(spark: SparkSession, sf_dir: str, how: object, target: int) -> DataFrame:
     """Each box alone, without cell planes: faces left and how far a vertex went."""
 
-    def over(key: tuple, table: pa.Table) -> pa.Table:
-        t = np.stack([table.column(c).to_numpy() for c in pyramid.CORNERS], axis=1).reshape(-1, 3, 3)
-        v, f = mesh.weld(t)
+    def give(own: pa.Table) -> dict:
+        v, f = mesh.weld(triangles_of(own))
         nv, nf, error, relaxed = mesh.relax(v, f, np.zeros(len(v), bool), target, how)
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in ((key[0].as_py(), pa.int64()), (len(nv), pa.int32()), (len(nf), pa.int32()), (error, pa.float64()), (relaxed, pa.bool_()))], names=["object_id", "vertices", "faces", "moved", "relaxed"])
+        return {"vertices": [len(nv)], "faces": [len(nf)], "moved": [error], "relaxed": [relaxed]}
 
-    return scenes.box_triangles(spark, sf_dir).orderBy("object_id", "fid").groupBy("object_id").applyInArrow(over, "object_id long, vertices int, faces int, moved double, relaxed boolean")
+    boxes = scenes.boxes(spark, sf_dir).where(LONE).select("object_id")
+    rows = scenes.box_triangles(spark, sf_dir).join(boxes, "object_id", "left_semi")
+    return per_object(rows, "fid", give, "object_id long, vertices int, faces int, moved double, relaxed boolean")
 
 
-@query()
+@query(f"WITH {O.BOXES} SELECT object_id, 6 AS vertices, 8 AS faces, least(ex, ey, ez) / 2 AS moved, FALSE AS relaxed FROM b WHERE {LONE}")
 def greedy_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of twelve faces eight: two of the four shortest edges are drawn together at their middles."""
     return simplified(spark, sf_dir, mesh.Greedy(), 8)
 
 
@@ -123,18 +134,11 @@ def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(spark: SparkSession, sf_dir: str, **how) -> store.Collection:
-    """A collection of the box scene in the shared folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    prefix = f"{base.rstrip('/')}/tessella-collection-{uuid.uuid4().hex}"
-
-    def gone() -> None:
-        try:
-            files.remove(spark, prefix)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-    atexit.register(gone)
-    store.write_collection(built(spark, sf_dir, **how), prefix, row_group_bytes=64 << 10, part_bytes=1 << 20)
+    """A collection of the box scene in the shared folder."""
+    prefix = scratch(spark, "collection")
+    made = built(spark, sf_dir, **how)
+    store.write_collection(made, prefix, row_group_bytes=64 << 10, part_bytes=1 << 20)
+    made.release()
     return store.open_collection(spark, prefix)
 
 
@@ -156,40 +160,62 @@ def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(want, "object_id").where("abs(area - want) <= 0.002 * want").select("object_id")
 
 
-@query()
+@query(f"WITH {SURFACE} SELECT level, cell, CAST(count(*) AS INTEGER) AS objects FROM held WHERE level = 1 GROUP BY level, cell")
 def level_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark, sf_dir).geometry(1).select("level", "cell", "vertex_count", "index_count")
+    """The rows of a whole level, and how many objects each cell holds."""
+    return written(spark, sf_dir).geometry(1).select("level", "cell", F.size("object_ids").alias("objects"))
 
 
-@query()
+OWNERS = "object_id % 3 = 1"
+
+
+@query(f"WITH {SURFACE} SELECT level, cell, object_id FROM held WHERE level = 1 AND cell IN (SELECT cell FROM held WHERE level = 1 AND {OWNERS})")
 def read_located_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of a plan, in its order."""
+    """The pieces in the cells of a plan, read from the row groups that hold these."""
     c = written(spark, sf_dir)
-    keys = c.plan(error_budget=4.0, box=((0.0, 0.0, 0.0), (900.0, 900.0, 300.0))).select("level", "cell")
+    ids = [r["object_id"] for r in scenes.boxes(spark, sf_dir).where(OWNERS).select("object_id").collect()]  # the objects asked for
+    keys = c.plan(objects=ids, min_level=1).select("level", "cell")
     keys = keys.withColumn("pos", (F.col("level") * -(1 << 55) + F.col("cell")).cast("long"))
-    return c.read_cells(keys).select("level", "cell", "object_id", "vertex_count", "face_count")
+    return c.read_cells(keys).select("level", "cell", "object_id")
 
 
-@query()
+@query("SELECT * FROM (VALUES (CAST(3 AS BIGINT), 0, 2, TRUE), (5, 0, 2, TRUE), (7, 0, 2, TRUE)) AS t(object_id, open_edges, euler, same_area)")
 def object_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = written(spark, sf_dir).object_mesh(7)
-    rows = [(int(i), int(n), *map(float, v[n])) for i, face in enumerate(f) for n in face]
-    return spark.createDataFrame(rows, "face int, vertex int, x double, y double, z double")
-
-
-@query()
+    """Objects put together from their cells: closed, of a ball's Euler number, with the box's area to within quantisation."""
+    c, want, rows = written(spark, sf_dir), {r["object_id"]: r["want"] for r in scenes.boxes(spark, sf_dir).where("object_id IN (3, 5, 7)").selectExpr("object_id", f"{area_of_box()} AS want").collect()}, []
+    for i in sorted(want):
+        v, f = c.object_mesh(i)
+        edges, count = mesh.edges_of(f)
+        t = v[f]
+        area = float(np.sqrt((np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) ** 2).sum(axis=1)).sum() / 2)
+        rows.append((i, int((count == 1).sum()), len(v) - len(edges) + len(f), abs(area - want[i]) <= 0.002 * want[i]))
+    return spark.createDataFrame(rows, "object_id long, open_edges int, euler int, same_area boolean")
+
+
+@query(f"WITH {SURFACE} SELECT cell, object_id FROM held WHERE level = 0")
 def blob_zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compressed blobs give the pieces that plain ones give."""
     a, b = (c.decode(c.geometry(0)) for c in (written(spark, sf_dir), written(spark, sf_dir, compression="ZSTD")))
     return a.join(b.select("cell", "object_id", F.col("v").alias("w"), F.col("f").alias("g")), ["cell", "object_id"]).where("v = w and f = g").select("cell", "object_id")
 
 
-@query()
+# A box inside one cell and away from its planes is written as it is: 8 vertices and 12 faces.
+INSIDE = " AND ".join(f"floor((c{a} - e{a} / 2 - 1) / {s}) = floor((c{a} + e{a} / 2 + 1) / {s})" for a, s in zip(XYZ, CELL_SIZE))
+ROUNDED = ", ".join(f"floor({a} / {s}) * {s} + round_even(({a} - floor({a} / {s}) * {s}) / {s} * 65535, 0) / 65535 * {s} AS {a}" for a, s in zip(XYZ, CELL_SIZE))
+
+
+@query(f"""WITH {O.BOXES}, {O.FACES}, one AS (SELECT min(object_id) AS object_id FROM b WHERE {INSIDE}),
+t AS (SELECT *, row_number() OVER (ORDER BY ax, ay, az, bx, by_, bz, cx, cy, cz) - 1 AS r FROM tri WHERE object_id = (SELECT object_id FROM one)),
+s AS (SELECT unnest([3 * r, 3 * r + 1, 3 * r + 2]) AS pos, unnest([ax, bx, cx]) AS x, unnest([ay, by_, cy]) AS y, unnest([az, bz, cz]) AS z FROM t),
+u AS (SELECT x, y, z, row_number() OVER (ORDER BY min(pos)) AS n FROM s GROUP BY x, y, z),
+f3 AS (SELECT pos // 3 AS r, list(n ORDER BY pos) AS n FROM s JOIN u USING (x, y, z) GROUP BY 1)
+SELECT CAST(n - 1 AS INTEGER) AS line, 'v' AS kind, x, y, z FROM (SELECT n, {ROUNDED} FROM u)
+UNION ALL SELECT CAST(8 + r AS INTEGER), 'f', CAST(n[1] AS DOUBLE), CAST(n[2] AS DOUBLE), CAST(n[3] AS DOUBLE) FROM f3""")
 def export_obj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an OBJ file of one object: vertices, then faces from 1."""
-    v, f = written(spark, sf_dir).object_mesh(3)
-    lines = [f"v {x!r} {y!r} {z!r}" for x, y, z in v.tolist()] + [f"f {a + 1} {b + 1} {c + 1}" for a, b, c in f.tolist()]
-    return spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line int, text string")
+    """Lines of an OBJ file of one object, taken apart: vertices, then faces from 1."""
+    one = scenes.boxes(spark, sf_dir).where(INSIDE).agg(F.min("object_id")).first()[0]
+    lines = [line.split() for line in obj.obj_lines(*written(spark, sf_dir).object_mesh(one))]
+    return spark.createDataFrame([(i, kind, *map(float, xs)) for i, (kind, *xs) in enumerate(lines)], "line int, kind string, x double, y double, z double")
 
 
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +259,89 @@ def audit_locators_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.misplaced(broken(spark, sf_dir), layout)
 
 
+HELD, NAMED = "cell % 5 <> 0", "cell % 7 <> 0"
+
+
+@query(f"WITH {O.POINTS}, {O.CELLS} SELECT CAST(n AS INTEGER) AS level FROM (SELECT unnest(range(4)) AS n) WHERE n NOT IN (SELECT level FROM cat WHERE level <> 1)")
+def audit_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels that a catalog lacks which claims four and has lost one."""
+    return audit.missing_levels(point_catalog(spark, sf_dir).where("level <> 1"), 4)
+
+
+@query(f"""WITH {O.POINTS}, {O.CELLS}, o AS (SELECT object_id, row_number() OVER (ORDER BY object_id) - 1 + CASE WHEN object_id % 4 = 0 THEN 1 ELSE 0 END AS ordinal FROM (SELECT DISTINCT object_id FROM p))
+SELECT count(*) AS objects, count(DISTINCT ordinal) AS ordinals, CAST(min(ordinal) AS INTEGER) AS first, CAST(max(ordinal) AS INTEGER) AS last FROM o""")
+def audit_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals of which some stand twice and some are left out."""
+    rows = catalogs.ordinals(scenes.points(spark, sf_dir))
+    return audit.ordinal_range(rows.withColumn("ordinal", F.col("ordinal") + F.when(F.col("object_id") % 4 == 0, 1).otherwise(0)))
+
+
+@query(f"""WITH {O.POINTS}, {O.CELLS} SELECT level, cell, 'decode' AS kind FROM cat WHERE cell % 5 = 0
+UNION ALL SELECT level, cell, 'index' FROM cat WHERE cell % 7 = 0 AND cell % 5 <> 0 UNION ALL SELECT level, cell, 'offsets' FROM cat WHERE cell % 3 = 0""")
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry rows with blobs that are too long, indices past their vertices, and offsets that do not begin at 0."""
+    n = F.col("vertex_count")
+    rows = catalogs.cell_catalog(scenes.points(spark, sf_dir), CELL_SIZE, LEVELS).select(
+        "level", "cell",
+        F.unhex(F.expr("repeat('000000000000', CAST(vertex_count + IF(cell % 5 = 0, 1, 0) AS INT))")).alias("positions"),
+        blobs.pack(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"), F.when(F.col("cell") % 7 == 0, n).otherwise(0)), 4).alias("indices"),
+        n.cast("int").alias("vertex_count"), F.lit(3).alias("index_count"), F.array(F.lit(1).cast("long")).alias("object_ids"), F.array(F.lit(0)).alias("object_ordinals"),
+        F.array(F.when(F.col("cell") % 3 == 0, 1).otherwise(0)).alias("object_vertex_offsets"), F.array(F.lit(0)).alias("object_index_offsets"))
+    return audit.blob_problems(rows, CELL_SIZE).select("level", "cell", "kind")
+
+
+@query(f"""WITH {O.POINTS}, {O.CELLS}, d AS (SELECT DISTINCT level, cell, object_id FROM pl)
+SELECT level, cell, object_id, 'is not in the object catalog' AS said FROM d WHERE {HELD} AND NOT ({NAMED}) UNION ALL SELECT level, cell, object_id, 'is not in the cell' FROM d WHERE NOT ({HELD}) AND {NAMED}""")
+def audit_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only the cells have, and what only the object catalog has."""
+    both = object_cells(spark, sf_dir).select("level", "cell", "object_id")
+    return audit.disagreements(both.where(HELD), both.where(NAMED))
+
+
+@query(f"""WITH {O.POINTS}, {O.CELLS}, said AS (SELECT level, cell, cell % 4 AS part, cell % 9 AS g FROM cat),
+there AS (SELECT level, cell, part, CASE WHEN cell % 6 = 0 THEN (g + 1) % 9 ELSE g END AS g FROM said WHERE cell % 11 <> 0)
+SELECT s.level, s.cell, t.cell IS NULL AS nowhere FROM said s LEFT JOIN there t ON t.level = s.level AND t.cell = s.cell
+WHERE t.cell IS NULL OR (s.g <> t.g AND EXISTS (SELECT 1 FROM there q WHERE q.level = s.level AND q.part = s.part AND q.g = s.g))""")
+def audit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that were not written, or into another row group than their locator says."""
+    cells = point_catalog(spark, sf_dir).select("level", "cell", F.expr("CAST(cell % 4 AS INT)").alias("part"), F.expr("CAST(cell % 9 AS INT)").alias("row_group"))
+    placed = cells.where("cell % 11 <> 0").withColumn("row_group", F.expr("IF(cell % 6 = 0, (row_group + 1) % 9, row_group)"))
+    return audit.lost_rows(cells, placed).select("level", "cell", (F.col("said") == "no row").alias("nowhere"))
+
+
+@query(f"""WITH {O.POINTS}, {O.CELLS}, n AS (SELECT level, sum(CASE WHEN level = 1 THEN 2 ELSE 1 END * vertex_count)::BIGINT AS faces FROM cat GROUP BY level)
+SELECT a.level, a.faces, b.faces AS below FROM n a JOIN n b ON b.level = a.level - 1 WHERE a.faces > b.faces""")
+def audit_level_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level that holds more faces than the one below."""
+    return audit.larger_levels(point_catalog(spark, sf_dir).withColumn("index_count", F.expr("3 * IF(level = 1, 2, 1) * vertex_count")))
+
+
+@query(f"WITH {O.POINTS}, {O.CELLS} SELECT CAST(level AS BIGINT) AS level, cell, count(*) AS lost, CAST(0 AS BIGINT) AS new FROM pl WHERE level = 1 AND x % 256 = 0 AND cell % 3 = 0 GROUP BY level, cell")
+def audit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices on planes of coarse cells, which every third coarse cell has lost."""
+    rows = catalogs.at_levels(catalogs.with_cells(scenes.points(spark, sf_dir).where("x % 256 = 0"), CELL_SIZE), 2)
+
+    kept = (F.col("level") == 0) | (F.col("cell") % 3 != 0)
+    spot = F.struct(*[F.when(kept, F.col(a)).otherwise(F.lit(100.5) if a != "z" else F.lit(50.25)).alias(a) for a in XYZ])
+    pieces = as_bytes(rows.groupBy("level", "cell").agg(F.collect_list(spot).alias("v")), "level int, cell long, v binary")
+    return audit.moved_on_planes(pieces, CELL_SIZE).where("lost > 0 or new > 0").drop("n")
+
+
+@query(f"WITH {O.BOXES} SELECT object_id, CAST(1 AS INTEGER) AS level, CAST(3 AS DOUBLE) AS moved, CAST(2 AS DOUBLE) AS budget FROM b WHERE object_id % 3 = 2 AND ex >= 3")
+def audit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes whose coarse level is moved by one, two or three voxels along x, where two are claimed."""
+
+    def give(own: pa.Table) -> dict:
+        t, by = triangles_of(own), 1.0 + own["object_id"][0].as_py() % 3
+        v, f = mesh.weld(t)
+        w = v + np.array([by, 0.0, 0.0])
+        return {"level": [0, 1], "v": [x.astype("<f8").tobytes() for x in (v, w)], "f": [f.astype("<i4").tobytes()] * 2, "lod_error": [0.0, 2.0]}
+
+    rows = scenes.box_triangles(spark, sf_dir)
+    pieces = per_object(rows, "fid", give, "object_id long, level int, v binary, f binary, lod_error double")
+    return audit.displacements(pieces).withColumn("moved", F.round("moved", 9)).where("moved > budget")
+
+
 def audited(spark: SparkSession, sf_dir: str, tier: str) -> DataFrame:
     return audit.verify(written(spark, sf_dir), tier).frame(spark).select("name", "tier", "ok")
 

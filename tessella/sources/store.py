@@ -4,22 +4,26 @@
     <prefix>/catalog/cells.parquet        one row a cell, with part and row group
     <prefix>/catalog/objects.parquet      one row an object, with its cells
     <prefix>/manifest.json                last
+
+Located reads open only the row groups that the cell catalog names, and check that they hold the cells.
 """
 
 from __future__ import annotations
 
 import asyncio
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.errors import FormatError, UnfinishedCollectionError
-from tessella.operators import mesh, pyramid
+from tessella.operators import catalogs, mesh, pyramid
 from tessella.sources import files
 from tessella.sources.manifest import CELLS, NAME, OBJECTS, File, Manifest, level_path, relative
 
@@ -27,8 +31,11 @@ ROW_GROUP_BYTES, PART_BYTES = 512 << 10, 512 << 20
 REQUIRED = {
     "cells": ["level", "cell", "vertex_count", "index_count", *(f"bbox_{m}_{a}" for m in ("min", "max") for a in "xyz"), "lod_error", "object_count", "child_mask"],
     "objects": ["object_id", "ordinal", *(f"bbox_{m}_{a}" for m in ("min", "max") for a in "xyz"), "vertex_count", "index_count", "cells"],
-    "geometry": ["level", "cell", "positions", "indices", "vertex_count", "index_count", "object_ids", "object_ordinals", "object_vertex_offsets", "object_index_offsets"],
+    "geometry": pyramid.BLOB_COLUMNS,
 }
+GEOMETRY_SCHEMA = pa.schema(
+    [("level", pa.int32()), ("cell", pa.int64()), ("positions", pa.binary()), ("indices", pa.binary()), ("vertex_count", pa.int32()), ("index_count", pa.int32()), ("object_ids", pa.list_(pa.int64()))]
+    + [(n, pa.list_(pa.int32())) for n in ("object_ordinals", "object_vertex_offsets", "object_index_offsets")])
 
 
 def validate(df: DataFrame, role: str) -> None:
@@ -136,15 +143,20 @@ def put_catalog(df: DataFrame, path: str, keys: list[str], types: dict) -> int:
                     t = t.set_column(t.schema.get_field_index(n), n, t[n].cast(kind))
                 writer = writer or pq.ParquetWriter(sink, t.schema, compression="zstd")
                 writer.write_table(t)
-            if writer is None:
-                t = pa.schema([pa.field(n, pa.null()) for n in names]).empty_table()
-                writer = pq.ParquetWriter(sink, t.schema)
+            writer = writer or pq.ParquetWriter(sink, schema)  # an empty catalog has its columns' types all the same
             writer.close()
         system.move(temp, target)
         yield pa.RecordBatch.from_arrays([pa.array([system.get_file_info(target).size], pa.int64())], names=["bytes"])
 
-    names = df.columns
-    return df.repartition(1).sortWithinPartitions(*keys).mapInArrow(over, "bytes long").first()[0]
+    schema = pa.schema([pa.field(f.name, types.get(f.name, f.type)) for f in to_arrow_schema(df.schema)])
+    found = df.repartition(1).sortWithinPartitions(*keys).mapInArrow(over, "bytes long").first()
+    # Where Spark knows that there are no rows it runs no task.
+    return found[0] if found else next(over(iter(())))["bytes"][0].as_py()
+
+
+def with_locators(cells: DataFrame, located: DataFrame) -> DataFrame:
+    """Catalog rows and where they were written; those that were not have nulls."""
+    return cells.join(located.select("level", "cell", "part", "row_group", "blob_bytes"), ["level", "cell"], "left")
 
 
 def write_collection(built: pyramid.Built, prefix: str, part_bytes: int = PART_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, name: str = NAME) -> Manifest:
@@ -162,7 +174,7 @@ def write_collection(built: pyramid.Built, prefix: str, part_bytes: int = PART_B
         files.remove(spark, f"{prefix}/{old}")
     located = write_parts(built.geometry, prefix, part_bytes, row_group_bytes).persist()
     parts = located.groupBy("level", "part").agg(F.first("file_bytes").alias("bytes"), F.first("row_groups").alias("groups")).orderBy("level", "part").collect()  # one row a file
-    cells = built.cells.drop("blob_bytes").join(located.select("level", "cell", "part", "row_group", "blob_bytes"), ["level", "cell"], "left")
+    cells = with_locators(built.cells.drop("blob_bytes"), located)
     n_cells = put_catalog(cells.select(*REQUIRED["cells"], "part", "row_group", "blob_bytes"), f"{prefix}/{CELLS}", ["level", "cell"], {"level": pa.int32(), "object_count": pa.int32(), "child_mask": pa.uint8()})
     n_objects = put_catalog(built.objects.select(REQUIRED["objects"]), f"{prefix}/{OBJECTS}", ["object_id"], {})
     per_level = {r["level"]: r["count"] for r in built.cells.groupBy("level").count().collect()}
@@ -184,7 +196,44 @@ def write_meshes(triangles: DataFrame, prefix: str, part_bytes: int = PART_BYTES
     return write_collection(pyramid.build(triangles, **how), prefix, part_bytes, row_group_bytes)
 
 
-DECODED = "level int, cell long, object_id long, vertex_count int, face_count int, v binary, f binary"
+@dataclass(frozen=True)
+class Cell:
+    """A decoded cell: all its vertices and faces, and which run of each belongs to which object."""
+
+    level: int
+    cell: int
+    vertices: np.ndarray
+    faces: np.ndarray
+    object_ids: list[int]
+    object_ordinals: list[int]
+    object_vertex_offsets: list[int]
+    object_index_offsets: list[int]
+
+    def object_mesh(self, object_id: int) -> tuple[np.ndarray, np.ndarray]:
+        for o, v, f in pyramid.slices(self.vertices, self.faces, self.object_ids, self.object_vertex_offsets, self.object_index_offsets):
+            if o == object_id:
+                return v, f
+        raise KeyError(f"no object {object_id} in cell {self.cell} at level {self.level}")
+
+
+def span_of(meta: pq.FileMetaData, group: int) -> tuple[int, int]:
+    """First byte and end of a row group's column chunks."""
+    chunks = [meta.row_group(group).column(i) for i in range(meta.num_columns)]
+    starts = [min(x for x in (c.dictionary_page_offset, c.data_page_offset) if x) for c in chunks]
+    return min(starts), max(a + c.total_compressed_size for a, c in zip(starts, chunks))
+
+
+def located_rows(file: pq.ParquetFile, group: int, cells: list[int], where: str) -> pa.Table:
+    """The rows of these cells, from the row group that a catalog names for them."""
+    if not 0 <= group < file.metadata.num_row_groups:
+        raise FormatError(f"{where} has {file.metadata.num_row_groups} row groups, not a row group {group}")
+    table = file.read_row_group(group, columns=pyramid.BLOB_COLUMNS)
+    pyramid.refuse_nulls(table, f"{where}, row group {group},")
+    spots = {c: i for i, c in enumerate(table["cell"].to_pylist())}
+    lost = sorted(set(cells) - spots.keys())
+    if lost:
+        raise FormatError(f"cell {lost[0]} is not in {where}, row group {group}, which the cell catalog names for it")
+    return table.take(pa.array([spots[c] for c in cells], pa.int64())).cast(GEOMETRY_SCHEMA)
 
 
 class Collection:
@@ -195,26 +244,81 @@ class Collection:
             raise UnfinishedCollectionError(f"{prefix} has no {name}: it was not finished, or is not there")
         self.spark, self.prefix = spark, prefix
         self.manifest = Manifest.from_json(files.get(spark, f"{prefix}/{name}"))
+        self.open_file: Callable[[str], object] = lambda path: files.place(path)[0].open_input_file(files.place(path)[1])
+        self.kept: list[DataFrame] = []
+        self.footers: dict[str, pq.FileMetaData] = {}
+        self.sound: set[str] = set()
 
     def __repr__(self) -> str:
         return f"Collection({self.prefix!r}, cell_size={self.manifest.cell_size}, levels={self.manifest.levels})"
 
+    def release(self) -> None:
+        """Lets go of what reads have kept: persisted frames and file footers. The catalogs are read anew as ever."""
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
+        self.footers.clear()
+
+    def catalog(self, path: str, role: str) -> DataFrame:
+        """A catalog with its columns; a null where none may be is refused by the file's own statistics."""
+        out = self.spark.read.parquet(f"{self.prefix}/{path}")
+        validate(out, role)
+        if path not in self.sound:
+            plain = [c for c, kind in out.dtypes if c in REQUIRED[role] and not kind.startswith("array")]
+            counts = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in plain]).first() if self.may_hold_nulls(path, plain) else {}
+            for c in plain:
+                if counts and counts[c]:
+                    raise FormatError(f"{path} holds {counts[c]} nulls in column {c}, which may have none")
+            self.sound.add(path)
+        return out
+
+    def may_hold_nulls(self, path: str, columns: list[str]) -> bool:
+        """False where the footer's statistics rule nulls out in these columns."""
+        try:
+            meta = self.parquet(f"{self.prefix}/{path}").metadata
+        except (OSError, ValueError, pa.ArrowException):  # a file system that Arrow does not know
+            return True
+        for g in range(meta.num_row_groups):
+            for i in range(meta.num_columns):
+                chunk = meta.row_group(g).column(i)
+                stats = chunk.statistics
+                if chunk.path_in_schema in columns and (stats is None or not stats.has_null_count or stats.null_count):
+                    return True
+        return False
+
     def cells(self) -> DataFrame:
-        out = self.spark.read.parquet(f"{self.prefix}/{self.manifest.cells.path}")
-        validate(out, "cells")
+        out = self.catalog(self.manifest.cells.path, "cells")
         for c in ("part", "row_group", "blob_bytes"):
             if c not in out.columns:
                 out = out.withColumn(c, F.lit(None).cast("long"))
         return out
 
+    def cells_at(self, level: int) -> DataFrame:
+        """The catalog's rows of a level, in Morton order."""
+        return self.cells().where(F.col("level") == level).orderBy("cell")
+
+    def roots(self) -> DataFrame:
+        """The coarsest cells."""
+        return self.cells_at(self.manifest.levels - 1)
+
     def objects(self) -> DataFrame:
-        out = self.spark.read.parquet(f"{self.prefix}/{self.manifest.objects.path}")
-        validate(out, "objects")
-        return out
+        return self.catalog(self.manifest.objects.path, "objects")
 
     def object_cells(self) -> DataFrame:
         return self.objects().select("object_id", "ordinal", F.explode("cells").alias("c")).select("object_id", "ordinal", "c.level", "c.cell")
 
+    def object_cells_at(self, object_id: int, level: int) -> list[int]:
+        """The cells of one object at a level, in Morton order."""
+        own = self.objects().where(F.col("object_id") == object_id).select("cells").first()
+        if own is None:
+            raise KeyError(f"no object {object_id}")
+        return sorted(c["cell"] for c in own["cells"] if c["level"] == level)
+
+    def cells_for_objects(self, objects: list[int], level: int | None = None) -> DataFrame:
+        """object_id and the catalog's rows of these objects' cells."""
+        owned = self.object_cells().where(F.col("object_id").isin(objects))
+        return catalogs.cells_of(owned if level is None else owned.where(F.col("level") == level), self.cells())
+
     def level_paths(self, level: int, parts: list[int] | None = None) -> list[str]:
         """Files of a level by the manifest, else by listing; only the parts named."""
         named = (self.manifest.level_files or {}).get(level)
@@ -236,44 +340,114 @@ class Collection:
             how["object_cells"] = self.object_cells()
         return descent.plan(self.cells(), self.manifest.levels, **how)
 
+    def parquet(self, path: str) -> pq.ParquetFile:
+        """An open file; its footer is read once."""
+        out = pq.ParquetFile(self.open_file(path), metadata=self.footers.get(path))
+        self.footers.setdefault(path, out.metadata)
+        return out
+
+    def row_group_spans(self, level: int, part: int) -> list[tuple[int, int]]:
+        """First byte and end of each row group of a part."""
+        meta = self.parquet(f"{self.prefix}/{level_path(level, part)}").metadata
+        return [span_of(meta, g) for g in range(meta.num_row_groups)]
+
+    def locators(self, keys: list[tuple[int, int]]) -> list[tuple]:
+        """(level, cell, part, row_group) of a few keys, in their order."""
+        asked = self.spark.createDataFrame([(int(a), int(b)) for a, b in dict.fromkeys(keys)], "level int, cell long")
+        held = {(r["level"], r["cell"]): r for r in self.cells().join(F.broadcast(asked), ["level", "cell"], "left_semi").select("level", "cell", "part", "row_group").collect()}
+        for level, cell in keys:
+            if (level, cell) not in held:
+                raise KeyError(f"no cell {cell} at level {level}")
+        return [tuple(held[k]) for k in keys]
+
+    def group_rows(self, level: int, part: int | None, group: int | None, cells: list[int]) -> pa.Table:
+        """Rows of cells from their row group; of cells without a locator, from a scan of the level."""
+        if part is None or group is None:
+            rows = self.geometry(level).where(F.col("cell").isin(cells)).toArrow().cast(GEOMETRY_SCHEMA)
+            spots = {c: i for i, c in enumerate(rows["cell"].to_pylist())}
+            if set(cells) - spots.keys():
+                raise KeyError(f"no cell {min(set(cells) - spots.keys())} at level {level} was written")
+            return rows.take(pa.array([spots[c] for c in cells], pa.int64()))
+        path = level_path(level, part)
+        return located_rows(self.parquet(f"{self.prefix}/{path}"), int(group), cells, path)
+
+    def decoded(self, rows: pa.Table) -> list[Cell]:
+        m, out = self.manifest, []
+        for r in rows.to_pylist():
+            v, f = pyramid.decode_cell(r["positions"], r["indices"], r["cell"], r["level"], m.cell_size, r["vertex_count"], r["index_count"], m.codec, m.compression)
+            out.append(Cell(r["level"], r["cell"], v, f, *(r[c] for c in pyramid.BLOB_COLUMNS[6:])))
+        return out
+
+    def read_cell(self, level: int, cell: int) -> Cell:
+        """One cell: its catalog row, and the row group that this names, by the driver itself."""
+        (found,) = self.locators([(level, cell)])
+        return self.decoded(self.group_rows(level, found[2], found[3], [cell]))[0]
+
+    async def aread_cell(self, level: int, cell: int) -> Cell:
+        return (await self.aread_cells([(level, cell)]))[0]
+
+    async def aread_cells(self, keys: list[tuple[int, int]], concurrency: int = 16) -> list[Cell]:
+        """A few cells in the order asked for; each row group is read once, so many at a time at most."""
+        groups: dict[tuple, list[int]] = {}
+        for level, cell, part, group in await asyncio.to_thread(self.locators, keys):
+            groups.setdefault((level, part, group), []).append(cell)
+        gate = asyncio.Semaphore(max(1, concurrency))
+
+        async def read(spot: tuple, cells: list[int]) -> list[Cell]:
+            async with gate:  # a file handle of its own for each read: handles are not shared by threads
+                return self.decoded(await asyncio.to_thread(self.group_rows, *spot, list(dict.fromkeys(cells))))
+
+        found = await asyncio.gather(*(read(spot, cells) for spot, cells in groups.items()))
+        by_key = {(c.level, c.cell): c for cells in found for c in cells}
+        return [by_key[k] for k in keys]
+
     def read_rows(self, keys: DataFrame) -> DataFrame:
-        """Geometry rows of keys (level, cell, ...) in no order: only the parts and row groups they are in.
+        """Geometry rows of keys (level, cell, ...) in no order, of the row groups that hold them and no others.
 
-        Files are pruned by the locators; within them, the range and, where the keys are few, the set
-        of cells are pushed to the scan. A key without a row is an error.
+        Each row group is read once, by one task; one that lacks a cell which the catalog places there
+        is an error, and so is a key without a row.
         """
-        located = keys.select("level", "cell").distinct().join(self.cells().select("level", "cell", F.lit(True).alias("known"), "part"), ["level", "cell"], "left").persist()
-        bad = located.where("known is null or part is null").first()
+        located = keys.select("level", "cell").distinct().join(self.cells().select("level", "cell", F.lit(True).alias("known"), "part", "row_group"), ["level", "cell"], "left").persist()
+        self.kept.append(located)
+        bad = located.where("known is null or part is null or row_group is null").first()
         if bad is not None:
             raise KeyError(f"no cell {bad['cell']} at level {bad['level']} was written")
-        spots = located.groupBy("level").agg(F.collect_set("part").alias("parts"), F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.count("*").alias("n")).collect()  # one row a level
-        out = None
-        for s in spots:
-            rows = self.geometry(s["level"], sorted(s["parts"])).where(F.col("cell").between(s["lo"], s["hi"]))
-            own = located.where(F.col("level") == s["level"])
-            if s["n"] <= 100:
-                rows = rows.where(F.col("cell").isin([r["cell"] for r in own.select("cell").collect()]))  # 100 at most
-            rows = rows.join(own.select("level", "cell"), ["level", "cell"], "left_semi")
-            out = rows if out is None else out.unionByName(rows)
-        return out if out is not None else self.spark.createDataFrame([], pyramid.GEOMETRY)
-
-    def decode(self, rows: DataFrame) -> DataFrame:
-        """One row a (level, cell, object): its vertices (float64) and faces (int32, from 0)."""
-        m = self.manifest
-        size, compression = m.cell_size, m.compression
+        groups = located.groupBy("level", "part", "row_group").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # a row group's own cells at most
+        prefix = self.prefix
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, file = None, None
             for batch in batches:
                 for r in pa.Table.from_batches([batch]).to_pylist():
-                    v, f = pyramid.decode_cell(r["positions"], r["indices"], r["cell"], r["level"], size, r["vertex_count"], r["index_count"], compression)
-                    starts = [*r["object_vertex_offsets"], len(v)]
-                    faces = [*(x // 3 for x in r["object_index_offsets"]), len(f)]
-                    out = [(r["level"], r["cell"], o, starts[i + 1] - starts[i], faces[i + 1] - faces[i], v[starts[i] : starts[i + 1]].astype("<f8").tobytes(), (f[faces[i] : faces[i + 1]] - starts[i]).astype("<i4").tobytes()) for i, o in enumerate(r["object_ids"])]
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[n.split()[0] for n in DECODED.split(", ")])
-
-        return rows.select(REQUIRED["geometry"]).mapInArrow(over, DECODED)
+                    path = level_path(r["level"], r["part"])
+                    if path != last:
+                        system, target = files.place(f"{prefix}/{path}")
+                        last, file = path, pq.ParquetFile(system.open_input_file(target))
+                    yield from located_rows(file, r["row_group"], r["cells"], path).to_batches()
+
+        ordered = groups.repartition("level", "part", "row_group").sortWithinPartitions("level", "part", "row_group")
+        return ordered.mapInArrow(over, pyramid.GEOMETRY)
+
+    def placed(self) -> DataFrame:
+        """level, cell, part, row_group as the files have it: one column of each row group is read."""
+        prefix = self.prefix
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for level, part, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    system, target = files.place(f"{prefix}/{path}")
+                    file = pq.ParquetFile(system.open_input_file(target))
+                    for g in range(file.metadata.num_row_groups):
+                        cells = file.read_row_group(g, columns=["cell"])["cell"].combine_chunks()
+                        n = len(cells)
+                        yield pa.RecordBatch.from_arrays([pa.array([level] * n, pa.int32()), cells, pa.array([part] * n, pa.int32()), pa.array([g] * n, pa.int32())], names=["level", "cell", "part", "row_group"])
+
+        named = self.layout().select("level", "part", "path")
+        return named.repartition(max(1, min(256, sum(map(len, (self.manifest.level_files or {}).values()))))).mapInArrow(over, "level int, cell long, part int, row_group int")
+
+    def decode(self, rows: DataFrame) -> DataFrame:
+        """One row a (level, cell, object): its vertices (float64) and faces (int32, from 0)."""
+        return pyramid.decode_rows(rows, self.manifest.cell_size, self.manifest.codec, self.manifest.compression)
 
     def read_cells(self, keys: DataFrame) -> DataFrame:
         """Decoded pieces of keys (level, cell, pos), in the order of pos and of object ids."""

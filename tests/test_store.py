@@ -137,6 +137,11 @@ FAULTS = {
     "child_mask": "child masks name children that exist",
     "lod_error": "a parent's error dominates its children's",
     "part": "locators point inside the files that exist",
+    "row_group": "every blob decodes to the counts its row claims",
+    "level": "levels are contiguous",
+    "larger": "a coarse level holds less than the level it summarises",
+    "box": "lod_error bounds how far a vertex moved from level 0",
+    "planes": "on-plane vertices are held fixed across levels",
     "null part": "every cell carries a locator",
     "ordinal": "object ordinals are dense",
     "cells": "the object catalog names cells that exist",
@@ -182,6 +187,16 @@ def test_each_fault_fails_its_own_check(spark, collection, tmp_path, fault):
         change(cells, lambda r: next(x for x in r if x["level"] == 2).update(lod_error=0.0))
     elif fault == "part":
         change(cells, lambda r: r[0].update(part=99))
+    elif fault == "row_group":
+        change(cells, lambda r: next(x for x in r if x["level"] == 0 and x["part"] == 0).update(row_group=next(x for x in r if x["level"] == 0 and x["part"] == 0)["row_group"] + 1))
+    elif fault == "level":
+        change(cells, lambda r: [r.remove(x) for x in list(r) if x["level"] == 1])
+    elif fault == "larger":
+        change(cells, lambda r: next(x for x in r if x["level"] == 2).update(index_count=10**8))
+    elif fault == "box":
+        change(cells, lambda r: [x.update(lod_error=1e-9) for x in r])
+    elif fault == "planes":
+        change("level=1/part-00000.parquet", lambda r: [x.update(positions=bytes(6 * x["vertex_count"])) for x in r])
     elif fault == "null part":
         change(cells, lambda r: r[0].update(part=None))
     elif fault == "ordinal":
@@ -200,13 +215,228 @@ def test_each_fault_fails_its_own_check(spark, collection, tmp_path, fault):
         change(part, lambda r: r[0].update(object_index_offsets=[1] * len(r[0]["object_ids"])))
     elif fault == "object_ids":
         change(part, lambda r: r[0].update(object_ids=[12345 + i for i in range(len(r[0]["object_ids"]))]))
-    report = audit.verify(store.open_collection(spark, f"file://{root}"), "blobs")
+    report = audit.verify(store.open_collection(spark, f"file://{root}"), "geometry" if fault in ("larger", "box", "planes") else "blobs")
     failed = {c.name for c in report.failures}
     assert FAULTS[fault] in failed and not report
-    if fault not in ("level=0", "cells"):  # these two break more than one claim
+    if fault not in ("level=0", "cells", "level", "planes"):  # these break more than one claim
         assert failed == {FAULTS[fault]}
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file, seen):
+        self.file, self.seen = file, seen
+
+    def read(self, n=-1):
+        out = self.file.read(n) if n >= 0 else self.file.read()
+        self.seen.append(len(out))
+        return out
+
+    def seek(self, at, whence=0):
+        return self.file.seek(at, whence)
+
+    def tell(self):
+        return self.file.tell()
+
+    def close(self):
+        self.file.close()
+
+    @property
+    def closed(self):
+        return self.file.closed
+
+    def readable(self):
+        return True
+
+    seekable = readable
+
+
+def test_reading_a_cell_costs_its_row_group(spark, collection):
+    import pyarrow as pa
+
+    c, seen = store.open_collection(spark, collection.prefix), []
+    plain = c.open_file
+    c.cells()
+    c.open_file = lambda path: pa.PythonFile(Counted(plain(path), seen), "r")
+    rows = [r for r in c.cells_at(0).collect() if r["part"] == 0]
+    spans = c.row_group_spans(0, 0)
+    assert len(spans) > 2 and all(a < b for a, b in spans) and spans == sorted(spans)
+    level = c.manifest.level_files[0]
+    for r in (rows[0], rows[-1]):
+        seen.clear()
+        cell = c.read_cell(0, r["cell"])
+        a, b = spans[r["row_group"]]
+        assert (len(cell.vertices), 3 * len(cell.faces), len(cell.object_ids)) == (r["vertex_count"], r["index_count"], r["object_count"])
+        assert 0 < sum(seen) <= b - a + 64 and sum(seen) < sum(f.bytes for f in level) / 3  # the footer is known by now
+    before = dict(c.footers)
+    c.release()
+    assert before and not c.footers
+    seen.clear()
+    c.read_cell(0, rows[0]["cell"])
+    assert sum(seen) > spans[0][1] - spans[0][0]  # the footer again
+    with pytest.raises(KeyError):
+        c.read_cell(0, 1 << 40)
+
+
+def test_cells_agree_with_the_frames_and_come_in_order(spark, collection):
+    keys = [(r["level"], r["cell"]) for r in collection.cells().orderBy(F.rand(4)).limit(12).collect()]
+    for concurrency in (1, 8):
+        got = asyncio.run(collection.aread_cells(keys + keys[:2], concurrency=concurrency))
+        assert [(c.level, c.cell) for c in got] == keys + keys[:2]
+    frame = {(r["level"], r["cell"], r["object_id"]): (r["v"], r["f"]) for r in collection.decode(collection.read_rows(spark.createDataFrame(keys, "level int, cell long"))).collect()}
+    assert {(c.level, c.cell, o) for c in got for o in c.object_ids} == frame.keys()
+    for c in got:
+        for o in c.object_ids:
+            v, f = c.object_mesh(o)
+            assert (v.astype("<f8").tobytes(), f.astype("<i4").tobytes()) == tuple(map(bytes, frame[c.level, c.cell, o]))
+        with pytest.raises(KeyError):
+            c.object_mesh(999)
+    one = asyncio.run(collection.aread_cell(*keys[0]))
+    assert (one.vertices == got[0].vertices).all()
+    assert collection.kept
+    collection.release()
+    assert not collection.kept
+
+
+def test_everyday_look_ups(collection):
+    assert {r["level"] for r in collection.roots().collect()} == {2}
+    ones = [r["cell"] for r in collection.cells_at(1).collect()]
+    assert ones == sorted(ones) and len(ones) == collection.manifest.counts["cellsPerLevel"][1]
+    own = collection.object_cells_at(3, 0)
+    assert own == sorted(r["cell"] for r in collection.object_cells().where("object_id = 3 and level = 0").collect())
+    assert sorted(r["cell"] for r in collection.cells_for_objects([3], 0).collect()) == own
+    with pytest.raises(KeyError):
+        collection.object_cells_at(99, 0)
+
+
+def copied(collection, tmp_path):
+    import shutil
+
+    root = f"{tmp_path}/c"
+    shutil.copytree(collection.prefix.removeprefix("file://"), root, ignore=shutil.ignore_patterns("*.crc"))
+    return root
+
+
+def rewritten(path, edit):
+    import pyarrow as pa
+
+    t = pq.read_table(path, partitioning=None)
+    rows = t.to_pylist()
+    edit(rows)
+    pq.write_table(pa.Table.from_pylist(rows, t.schema), path)
+
+
+def test_a_locator_of_the_wrong_row_group_is_refused(spark, collection, tmp_path):
+    root = copied(collection, tmp_path)
+    groups = max(r["row_group"] for r in collection.cells_at(0).collect() if r["part"] == 0)
+    moved = []
+
+    def edit(rows):
+        row = next(x for x in rows if x["level"] == 0 and x["part"] == 0 and x["row_group"] == 0)
+        row["row_group"] = groups
+        moved.append(row["cell"])
+
+    rewritten(f"{root}/catalog/cells.parquet", edit)
+    c = store.open_collection(spark, f"file://{root}")
+    with pytest.raises(FormatError, match="which the cell catalog names"):
+        c.read_cell(0, moved[0])
+    with pytest.raises(Exception, match="which the cell catalog names"):
+        c.read_rows(spark.createDataFrame([(0, moved[0])], "level int, cell long")).collect()
+
+
+def test_nulls_where_none_may_be_are_refused_by_name(spark, collection, tmp_path):
+    root = copied(collection, tmp_path)
+    rewritten(f"{root}/catalog/cells.parquet", lambda rows: rows[0].update(lod_error=None))
+    c = store.open_collection(spark, f"file://{root}")
+    with pytest.raises(FormatError, match="column lod_error"):
+        c.cells()
+    assert c.objects().count() == 3
+    first = next(r for r in collection.cells_at(0).collect() if r["part"] == 0)
+    rewritten(f"{root}/level=0/part-00000.parquet", lambda rows: next(x for x in rows if x["cell"] == first["cell"]).update(vertex_count=None))
+    whole = store.open_collection(spark, f"file://{root}")
+    with pytest.raises(Exception, match="column vertex_count"):
+        whole.decode(whole.geometry(0)).collect()
+
+
+def test_empty_catalogs_keep_their_types(spark, tmp_path):
+    t = soup(spark, {1: sphere(0, 5, (20, 20, 12))}).limit(0)
+    m = pyramid.build(t, SIZE, 2, warn=False).write(f"file://{tmp_path}/e")
+    schema = pq.read_schema(f"{tmp_path}/e/catalog/cells.parquet")
+    assert m.counts["objects"] == 0 and str(schema.field("lod_error").type) == "double" and str(schema.field("child_mask").type) == "uint8"
+    assert store.open_collection(spark, f"file://{tmp_path}/e").cells().count() == 0
+
+
+def test_stores_hold_whole_collections(spark, collection, tmp_path):
+    from tessella.sources import stores
+
+    class Own:
+        """Any object with these four methods will do."""
+
+        def __init__(self):
+            self.held = {}
+
+        def put(self, key, body):
+            self.held[key] = body
+
+        def get(self, key, start=0, size=None):
+            return self.held[key][start:] if size is None else self.held[key][start : start + size]
+
+        def names(self, prefix=""):
+            return [k for k in self.held if k.startswith(prefix)]
+
+        def delete(self, key):
+            self.held.pop(key, None)
+
+    for n, kept in enumerate((stores.MemoryStore(), stores.DirectoryStore(f"{tmp_path}/d"), Own())):
+        named = stores.save(collection, kept, "a/b")
+        assert named[-1] == "a/b/manifest.json" and sorted(kept.names("a/")) == sorted(named)
+        assert kept.get(named[0], 0, 4) == b"PAR1" or named[0].endswith(".json")
+        other = stores.load(spark, kept, "a/b", f"file://{tmp_path}/load{n}")
+        assert sorted(map(str, other.cells().collect())) == sorted(map(str, collection.cells().collect()))
+        v, f = other.object_mesh(3)
+        w, g = collection.object_mesh(3)
+        assert (v == w).all() and (f == g).all()
+    with pytest.raises(UnfinishedCollectionError):
+        stores.load(spark, stores.MemoryStore(), "nothing", f"file://{tmp_path}/none")
+    with pytest.raises(KeyError):
+        stores.MemoryStore().get("x")
+
+
+def test_codecs_are_found_by_name_and_packages_asked_for(monkeypatch):
+    import sys
+    import types
+
+    from tessella.errors import MissingExtraError
+    from tessella.functions import blobs
+    from tessella.operators import codecs
+
+    q, f = np.arange(12, dtype="<u2").reshape(-1, 3), np.array([[0, 1, 2], [2, 1, 3]])
+    raw = codecs.codec_for("NONE")
+    for compression in ("NONE", "ZSTD"):
+        assert (raw.decode_positions(raw.encode_positions(q, compression), 4, compression) == q).all()
+        assert (raw.decode_indices(raw.encode_indices(f, 4, compression), 6, compression) == f).all()
+        with pytest.raises(FormatError):
+            raw.decode_positions(raw.encode_positions(q, compression)[:-1], 4, compression)
+    with pytest.raises(FormatError, match="unknown codec"):
+        codecs.codec_for("X")
+    for ask in (lambda: blobs.check_encoding("MESHOPT", "NONE"), lambda: codecs.codec_for("MESHOPT").encode_positions(q)):
+        with pytest.raises(MissingExtraError):
+            ask()
+    fake = types.ModuleType("meshoptimizer")
+    fake.encode_vertex_buffer = lambda a, n, size: bytes([1]) + a.tobytes()
+    fake.decode_vertex_buffer = lambda n, size, b: np.frombuffer(b[1:], np.float32)
+    fake.encode_index_buffer = lambda a, n, m: bytes([2]) + a.tobytes()
+    fake.decode_index_buffer = lambda n, size, b: np.frombuffer(b[1:], "<u4")
+    monkeypatch.setitem(sys.modules, "meshoptimizer", fake)
+    packed = codecs.codec_for("MESHOPT")
+    assert (packed.decode_positions(packed.encode_positions(q), 4) == q).all() and (packed.decode_indices(packed.encode_indices(f, 4), 6) == f).all()
+    v, g = pyramid.decode_cell(packed.encode_positions(q), packed.encode_indices(f, 4), 0, 0, (1, 1, 1), 4, 6, "MESHOPT")
+    assert np.allclose(v, q / 65535) and (g == f).all()
+    with pytest.raises(FormatError):
+        packed.decode_positions(packed.encode_positions(q), 5)
+
+
 def test_small_file_helpers(spark, tmp_path):
     path = f"file://{tmp_path}/a/b"
     files.put(spark, path, b"hello")
