@@ -106,7 +106,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b's set meets a's in a group (a, part) of bounded size; a's is copied once per part. Groups are
     streamed in order, so a task holds one centre and one leaf.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("parts"))
+    # A table of its own: where a centre has very many pairs, the joins with it can be dealt anew.
+    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("parts")), "parts")
     leaves = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     leaves = leaves.join(sets.withColumnRenamed("key", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "items")
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("key", "a"), "a")
