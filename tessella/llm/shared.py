@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.words import mix
 from tessella.sources import scratch as scratch_tables
-from tessella.sources.scratch import remove, scratch, shared_dir
+from tessella.sources.scratch import held, remove, scratch, shared_dir
 
-__all__ = ["arrow", "cut", "integer", "literal_table", "remove", "scratch", "shared_dir", "small_batches", "stream_groups", "unused", "KeyFilter", "map_arrow"]
+__all__ = ["arrow", "cut", "held", "integer", "literal_table", "remove", "scratch", "shared_dir", "small_batches", "stream_groups", "unused", "KeyFilter", "map_arrow"]
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -28,10 +28,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+def cut(df: DataFrame, label: str, since: set[str] | None = None) -> DataFrame:
     """scratch.cut with small batches."""
     small_batches(df.sparkSession)
-    return scratch_tables.cut(df, label, free)
+    return scratch_tables.cut(df, label, since)
 
 
 def unused(columns: list[str], names: tuple[str, ...]) -> dict[str, str]:

@@ -76,3 +76,13 @@ def test_bands_and_margin_hold_recall_at_80():
     bands, rows, percent = corpus_pipeline.NEAR_BANDS, corpus_pipeline.NEAR_ROWS, corpus_pipeline.NEAR_PERCENT
     assert percent == 80 and (1 - near_dedup.agreement(percent) ** rows) ** bands < 2e-6
     assert near_dedup.margin(percent, bands * rows) > near_dedup.margin(85, 224) == near_dedup.MARGIN
+
+
+def test_a_run_keeps_one_scratch_table(spark, sf):
+    from tessella.llm.shared import held
+
+    before = held()
+    out = corpus_pipeline.run(spark, sf)
+    rows = out.collect()
+    assert rows and out.columns == ["doc_id", "source", "n_pieces", "ids", "text"] and len(held() - before) == 1
+    assert all(len(r["ids"]) == r["n_pieces"] for r in rows)
