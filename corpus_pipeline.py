@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import line_dedup, mixing, near_dedup, pieces, quality
-from tessella.llm.shared import cut, unused
+from tessella.llm.shared import cut, held, unused
 
 NEAR_PERCENT = 80  # similarity of word 5-shingles from which documents are near-duplicates
 NEAR_BANDS, NEAR_ROWS = 40, 6  # a link of 0.80 misses all bands with chance 1e-6
@@ -79,7 +79,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), held()
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        docs = cut(stage(spark, docs, sf_dir), "stage", before)  # what the stages before have written goes
     return STAGES[-1][1](spark, docs, sf_dir)
