@@ -81,10 +81,11 @@ def decimation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir, simplifier="GREEDY").faces_per_level().select("level", "ratio")
 
 
-@query()
+@query(f"WITH {SURFACE} SELECT CAST(level AS BIGINT) AS level, count(DISTINCT cell) AS cells, CAST(0 AS BIGINT) AS moved FROM held WHERE level > 0 GROUP BY level")
 def locked_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces, those at their least number of faces, and pinned vertices of each coarse level."""
-    return built(spark, sf_dir).pieces.where("level > 0").groupBy("level").agg(F.count("*").alias("pieces"), F.count_if("at_floor").alias("at_floor"), F.sum("pinned").alias("pinned"))
+    """Cells of each coarse level, and in how many a vertex on their planes was lost or made by simplification."""
+    pieces = built(spark, sf_dir).pieces.where(F.octet_length("f") > 0)
+    return audit.moved_on_planes(pieces, CELL_SIZE).groupBy("level").agg(F.count("*").alias("cells"), F.count_if((F.col("lost") > 0) | (F.col("new") > 0)).alias("moved"))
 
 
 LONE = "ex <> ey AND ey <> ez AND ex <> ez"  # boxes with one shortest side

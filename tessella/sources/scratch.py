@@ -62,15 +62,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return SCRATCH.new(spark, label)
 
 
-def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+def held() -> set[str]:
+    """The scratch paths there are."""
+    return set(SCRATCH.held)
+
+
+def cut(df: DataFrame, label: str, since: set[str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here.
 
-    With `free`, all other scratch tables are removed once this one is written: only for a caller that
-    needs none of them any more.
+    With `since` (from `held`), scratch tables made after that are removed once this one is written:
+    for a caller that knows that nothing else reads them.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    if free:
-        SCRATCH.free(but={path})
+    if since is not None:
+        SCRATCH.free(but={path}, since=since)
     return spark.read.schema(df.schema).parquet(path)
