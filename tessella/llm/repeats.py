@@ -9,8 +9,8 @@ How a corpus-wide suffix array is kept small and distributed:
    50). Equal windows have equal anchors, so two equal windows meet under an anchor's k-gram. The
    keys go through the shuffle packed by hash range; k-grams that occur once end here.
 2. Contexts. What stands around an anchor inside its windows (at most `least` - k bytes before it,
-   `least` bytes from it on) decides everything. Equal contexts, told by 128-bit digests, are one
-   entry with a count: copies and periodic runs collapse, and a context that occurs twice is a
+   `least` bytes from it on) decides everything. Equal contexts, told by 128 bits of two families
+   of polynomial hashes over random tables (contexts are short), are one entry with a count: copies and periodic runs collapse, and a context that occurs twice is a
    repeat of its own.
 3. The tree. The different contexts of one k-gram are sorted by what follows the anchor: a sparse
    enhanced suffix array (order and common prefixes). One scan with a stack gives its intervals,
@@ -20,9 +20,9 @@ How a corpus-wide suffix array is kept small and distributed:
    its places from its left end to its right end.
 4. Spans go back to the documents and are joined to runs.
 
-The tree of a k-gram with more than `largest` different contexts is not scanned in one task: its
-intervals of `least` bytes, which are all that coverage needs, are found by grouping the contexts'
-windows instead, over all tasks.
+The contexts of a k-gram that are more than `largest` are split first, by halves of where a shared
+window may lie and by what must agree then, until one task can scan each part's tree; nothing that
+shares a window is parted on the way.
 
 `repeat_groups` puts the tree's maximal repeats out, each with all its places; `repeated_spans` the
 merged runs. A group reaches as far as the contexts do (300 bytes at most); longer repeats are
@@ -45,10 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import KeyFilter, arrow, cut
-from tessella.llm.words import PIECE, Powers, mix, runs, seeded, texts_of
+from tessella.llm.words import BASE, PIECE, Powers, mix, runs, seeded, texts_of
 
 LEAST, GRAM = 200, 100
-LARGEST = 2_000  # contexts of a k-gram whose tree one task scans
+LARGEST = 20_000  # contexts of a k-gram whose tree one task scans
+OTHER = 0xC2B2AE3D27D4EB4F  # base of the second family of hashes
 RANGE_KEYS = 1 << 18  # anchors of a hash range, about
 
 
@@ -117,9 +118,19 @@ class Anchors:
     """Anchors of texts, many texts at once."""
 
     def __init__(self, least: int, gram: int) -> None:
-        self.least, self.gram, self.powers, self.table = least, gram, Powers(), seeded(256, 23)
+        self.least, self.gram = least, gram
+        self.families = [(Powers(base), seeded(256, seed)) for base, seed in ((BASE, 23), (OTHER, 29))]
         self.wide = least - gram + 1
 
+    def sums(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Prefix sums and inverse powers, of each family of hashes."""
+        n = len(raw)
+        for powers, table in self.families:
+            up, down = powers.upto(n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[raw] * up[:n], out=total[1:])
+            yield total, down
+
     def slide(self, x: np.ndarray, pick: np.ufunc, fill: int) -> np.ndarray:
         """pick over x[i : i + wide] for each i (x is padded with fill)."""
         w, n = self.wide, len(x)
@@ -137,10 +148,8 @@ class Anchors:
         none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64))
         if n < least:
             return none
-        up, down = self.powers.upto(n + 1)
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.table[raw] * up[:n], out=total[1:])
+            (total, down), other = self.sums(raw)
             h = mix((total[k:] - total[:-k]) * down[: n - k + 1]) | np.uint64(1)
             low = self.slide(h, np.minimum, 2**64 - 1)[: n - least + 1]
             # Windows that cross a text's end do not count.
@@ -156,9 +165,9 @@ class Anchors:
             at = np.flatnonzero(high == h)
             which = np.searchsorted(own, at, side="right") - 1
             lo, hi = np.maximum(own[which], at - (least - k)), np.minimum(own[which + 1], at + least)
-        body, digest = raw.tobytes(), xxhash.xxh3_128_digest
-        c = np.frombuffer(b"".join([digest(body[a:b], i - a) for a, i, b in zip(lo.tolist(), at.tolist(), hi.tolist())]), np.uint64).reshape(-1, 2)
-        return at, which, h[at], c[:, 0], c[:, 1], lo, hi
+            sides = (at - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - at).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            c, e = (mix((x[hi] - x[lo]) * y[lo] + sides) for x, y in ((total, down), other))
+        return at, which, h[at], c, e, lo, hi
 
 
 def over_texts(column: pa.Array, anchors: Anchors) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
@@ -359,12 +368,49 @@ def windows(found: DataFrame, least: int) -> DataFrame:
     return arrow(found.select("h", "c", "e", "before", "after"), over, "h long, c long, e long, left int, w binary")
 
 
-def counted(found: DataFrame, least: int) -> DataFrame:
-    """The same as covered for k-grams of very many contexts: the tree's intervals of `least` bytes, by grouping."""
-    rows = windows(found, least)
-    twice = rows.groupBy("h", "left", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    held = rows.join(twice, ["h", "left", "w"]).groupBy("h", "c", "e")
-    return held.agg(F.flatten(F.collect_list(F.array("left", F.lit(least) - F.col("left")))).cast("array<int>").alias("spans"))
+def keys_of(text: bytes, before: int, lo: int, hi: int, least: int) -> bytes | None:
+    """What contexts have in common that share a window with lo to hi bytes before the k-gram; None where there is none."""
+    a, b = before - lo, before + least - hi
+    return xxhash.xxh3_128_digest(text[a:b]) if a >= 0 and b <= len(text) else None
+
+
+def counted(found: DataFrame, least: int, gram: int, largest: int) -> DataFrame:
+    """The same as covered for k-grams of very many contexts: split until one task can scan each tree.
+
+    Two contexts share a window if they agree for L bytes before the k-gram and least - L from it on,
+    for some L. So they agree on the middle of all windows with L in a range, and are grouped by that;
+    ranges are halved, and with them groups of more than `largest` contexts. What is left when a range
+    is one L shares that very window.
+    """
+    rows = cut(found.select("h", "c", "e", "before", "after", F.lit(0).alias("lo"), F.lit(least - gram).alias("hi")), "large")
+    spans, key = None, ["h", "lo", "hi", "k"]
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, c, e, before, after, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                text, n, mid = before[::-1] + after, len(before), (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    k = keys_of(text, n, a, b, least)
+                    if k is not None:
+                        out.append((h, c, e, before, after, a, b, k))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["h", "c", "e", "before", "after", "lo", "hi", "k"])
+
+    while True:
+        split = cut(arrow(rows.select("h", "c", "e", "before", "after", "lo", "hi"), halves, "h long, c long, e long, before binary, after binary, lo int, hi int, k binary"), "halves")
+        sizes = split.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+        split = cut(split.join(sizes, key), "halves")
+        whole = split.where("lo = hi").select("h", "c", "e", F.array("lo", F.lit(least) - F.col("lo")).cast("array<int>").alias("spans"))
+        few = split.where((F.col("lo") < F.col("hi")) & (F.col("n") <= largest)).withColumn("h2", F.xxhash64(*key))
+        own = covered(few.select(F.col("h2").alias("h"), "c", "e", "before", "after"), least).withColumnRenamed("h", "h2")
+        own = own.join(few.select("h2", "c", "e", "h"), ["h2", "c", "e"]).select("h", "c", "e", "spans")
+        got = cut(whole.union(own), "spans")
+        spans = got if spans is None else spans.union(got)
+        rows = split.where((F.col("lo") < F.col("hi")) & (F.col("n") > largest)).drop("k", "n")
+        if rows.isEmpty():
+            return spans.groupBy("h", "c", "e").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -381,7 +427,7 @@ def marked(docs: DataFrame, least: int = LEAST, gram: int = GRAM, largest: int =
     few, many = leads.where(F.col("kinds") <= largest), leads.where(F.col("kinds") > largest)
     spans = covered(contexts(docs, few, least, gram), least)
     if not many.isEmpty():
-        spans = spans.union(counted(contexts(docs, many, least, gram).dropDuplicates(["h", "c", "e"]), least))
+        spans = spans.union(counted(contexts(docs, many, least, gram).dropDuplicates(["h", "c", "e"]), least, gram, largest))
     mine = cut(found.join(cut(spans, "spans"), ["h", "c", "e"], "left").where("twice or spans is not null").select("d", "h", "c", "e", "twice", "spans"), "marks")
     dirty = mine.select("d").distinct()
     mine = mine.groupBy("d").agg(F.collect_list(F.struct("h", "c", "e", "twice", "spans")).alias("marks"))  # a document's own anchors at most

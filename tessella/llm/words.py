@@ -48,15 +48,16 @@ def lower_table() -> np.ndarray:
 
 
 class Powers:
-    """BASE**i and its inverse for prefix-sum hashing, grown on demand."""
+    """A base's powers and their inverses for prefix-sum hashing, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = BASE) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, PIECE + 1)
-            up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 2**64), np.uint64)
+            up, down = np.full(size, self.base, np.uint64), np.full(size, pow(self.base, -1, 2**64), np.uint64)
             up[0] = down[0] = 1
             with np.errstate(over="ignore"):
                 self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)

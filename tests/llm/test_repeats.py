@@ -35,7 +35,7 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("largest,gram", [(repeats.LARGEST, repeats.GRAM), (2, repeats.GRAM), (20_000, 40), (2, 40)])
+@pytest.mark.parametrize("largest,gram", [(repeats.LARGEST, repeats.GRAM), (2, repeats.GRAM), (5, repeats.GRAM), (20_000, 40), (2, 40)])
 def test_same_bytes_as_brute_force(spark, largest, gram, monkeypatch):
     monkeypatch.setattr(repeats.marked, "__defaults__", (200, gram, largest))
     odd = [None, "", "a" * 199, "b" * 200, "c" * 201, "c" * 1000, "xyz" * 200, "long " * 9000, texts(1)[0], texts(1)[0], "ab" * 150 + "q", "é" * 400]
