@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry, morton
-from tessella.operators import audit, mesh
+from tessella.operators import audit, mesh, pyramid
 from tessella.plans import descent
+from tessella.sources import scenes
 
 SIZE = (128, 128, 64)
 
@@ -37,6 +38,26 @@ def test_quadric_collapses_many_as_one_by_one():
             assert name == "QUADRIC" and np.array_equal(nv, got[0]) and np.array_equal(nf, got[1]) and error == got[2]
 
 
+def test_bundles_hold_many_pieces_and_give_the_same_rows(spark):
+    """Boxes that share cells: fewer bundles than pieces, and geometry as of the pieces one a row."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, t.ravel())) for i in range(200) for t in rng.uniform(0, 500, (1, 1, 3)) + rng.uniform(0, 90, (5, 3, 3))]
+    built = pyramid.build(spark.createDataFrame(rows, "object_id long, " + ", ".join(f"{c} double" for c in pyramid.CORNERS)), SIZE, 3, warn=False)
+    assert built.bundles.count() < built.heads.count() == built.pieces.count()
+    order = ["level", "cell"]
+    one_by_one = pyramid.assemble(built.pieces, SIZE).orderBy(order).collect()
+    assert built.geometry.orderBy(order).collect() == one_by_one and len(one_by_one) == built.stats.count()
+    assert not built.geometry.storageLevel.useMemory and not built.bundles.storageLevel.useMemory
+    built.release()
+    assert not built.bundles.is_cached
+
+
+def test_boxes_are_dealt_to_several_tasks(spark, sf):
+    one, many = scenes.box_triangles(spark, sf), scenes.box_triangles(spark, sf, spread=True)
+    assert many.rdd.getNumPartitions() > one.rdd.getNumPartitions()
+    assert sorted(many.collect()) == sorted(one.collect())
+
+
 def test_parts_cut_in_their_own_cells_are_the_whole():
     rng = np.random.default_rng(3)
     t = np.concatenate([rng.uniform(0, 1500, (200, 1, 3)) + rng.uniform(0, 300, (200, 3, 3)), rng.integers(0, 12, (200, 3, 3)) * 64.0])
