@@ -38,6 +38,24 @@ def test_quadric_collapses_many_as_one_by_one():
             assert name == "QUADRIC" and np.array_equal(nv, got[0]) and np.array_equal(nf, got[1]) and error == got[2]
 
 
+@pytest.mark.parametrize("placement", mesh.PLACEMENTS)
+def test_greedy_collapses_many_as_one_by_one(placement):
+    pieces, how = [bumpy(3 + k % 5, k) for k in range(40)], mesh.Greedy(placement)
+    targets = np.array([1 + k % 9 for k in range(40)])
+    at = np.cumsum([0, *(len(v) for v, _ in pieces)])
+    v, f = np.concatenate([v for v, _ in pieces]), np.concatenate([f + s for (_, f), s in zip(pieces, at)])
+    of_v, of_f = (np.repeat(np.arange(40), [len(p[i]) for p in pieces]) for i in (0, 1))
+    fixed = np.random.default_rng(1).random(len(v)) < 0.1
+    many = how.simplify_many(v, of_v, f, of_f, fixed=fixed, target_faces=targets)
+    assert sum(x is not None for x in many) > 20
+    for k, got in enumerate(many):
+        nv, nf, error, _ = how.simplify(*pieces[k], fixed=fixed[at[k] : at[k + 1]], target_faces=int(targets[k]))
+        if got is None:
+            assert not len(nf) or len(pieces[k][1]) <= targets[k]
+        else:
+            assert np.array_equal(nv, got[0]) and np.array_equal(nf, got[1]) and error == got[2]
+
+
 def test_bundles_hold_many_pieces_and_give_the_same_rows(spark):
     """Boxes that share cells: fewer bundles than pieces, and geometry as of the pieces one a row."""
     rng = np.random.default_rng(9)
